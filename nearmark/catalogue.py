@@ -357,5 +357,6 @@ def _embedding_knn(spark, d):
     refs = e.select(F.col("vec_id").alias("ref_id"), "label", v.alias("v"))
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), v.alias("q"))
     gaps = F.transform(F.arrays_zip("q", "v"), lambda x: (x["q"] - x["v"]) * (x["q"] - x["v"]))
-    pairs = refs.join(F.broadcast(q), F.col("id") != F.col("ref_id")).withColumn("dist", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, b: a + b))
-    return knn.top(pairs.select("id", "ref_id", "label", "dist"))
+    dist = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, b: a + b).alias("dist")
+    pairs = knn.in_blocks(q, lambda block: refs.join(F.broadcast(block), F.col("id") != F.col("ref_id")).select("id", "ref_id", "label", dist))
+    return knn.top(pairs)

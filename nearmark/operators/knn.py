@@ -6,7 +6,8 @@ they come in blocks of bounded rows, and each block is broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,25 @@ def query_blocks(queries: DataFrame) -> Iterator[np.ndarray]:
         yield np.array(block, np.int64)
 
 
+def blocks(queries: DataFrame, size: int | None = None) -> list[DataFrame]:
+    """queries (ids differ) in blocks of QUERY_BLOCK rows at most by a hash of id; sizes are counted, as each is broadcast."""
+    size = size or QUERY_BLOCK
+    n = queries.count()
+    if n <= size:
+        return [queries]
+    k = -(-2 * n // size)  # half full on average
+    part = F.pmod(F.xxhash64("id"), F.lit(k))
+    most = queries.groupBy(part.alias("part")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if most > size:
+        raise ValueError(f"a block of queries has {most} rows; ids have to differ")
+    return [queries.where(part == i) for i in range(k)]
+
+
+def in_blocks(queries: DataFrame, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """f of each block of queries, together."""
+    return reduce(DataFrame.unionByName, map(f, blocks(queries)))
+
+
 def flat(queries: DataFrame, refs: DataFrame, k: int = K) -> DataFrame:
     """Every reference against every query: integer distances by matrix products, a running top k in each task.
 
@@ -88,6 +108,10 @@ def flat(queries: DataFrame, refs: DataFrame, k: int = K) -> DataFrame:
 
 def two_pass(queries: DataFrame, refs: DataFrame, k: int = K, slots: int = 64) -> DataFrame:
     """All in the JVM: the k-th smallest of slot minima bounds the k-th distance; only pairs within it are ranked."""
+    return in_blocks(queries, lambda block: two_pass_block(block, refs, k, slots))
+
+
+def two_pass_block(queries: DataFrame, refs: DataFrame, k: int, slots: int) -> DataFrame:
     pairs = refs.select("ref_id", "label", *DIMS).crossJoin(F.broadcast(as_queries(queries))).select("id", "ref_id", "label", distance().alias("dist"))
     least = pairs.groupBy("id", F.pmod("ref_id", F.lit(slots)).alias("slot")).agg(F.min("dist").alias("dist"))
     bound = least.groupBy("id").agg(F.sort_array(F.collect_list("dist")).alias("d")).select("id", F.get("d", F.lit(k - 1)).alias("bound"))
@@ -105,7 +129,8 @@ def kd_plan(queries: DataFrame, refs: DataFrame, boxes: DataFrame, max_partition
     """(own partition's top k, other partitions worth a visit, result) of the partition-pruned search."""
     q = as_queries(queries)
     slim = refs.select("kd_key", "ref_id", "label", *DIMS)
-    first = top(slim.join(F.broadcast(q), slim["kd_key"] == q["q_kd_key"]).withColumn("dist", distance()), k)
+    own = lambda block: slim.join(F.broadcast(block), F.col("kd_key") == F.col("q_kd_key")).withColumn("dist", distance())
+    first = top(in_blocks(q, own), k)
     bound = first.where(F.col("rank") == k).select("id", F.col("dist").alias("bound"))
     placed = q.join(bound, "id", "left").crossJoin(F.broadcast(boxes)).where("kd_key <> q_kd_key").withColumn("lower", box_bound())
     visits = placed.where("bound is null or lower <= bound")
