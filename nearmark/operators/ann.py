@@ -26,16 +26,22 @@ def visits(queries: DataFrame, refs: DataFrame, p: SearchParams, order: DataFram
     return queries.select("id", "bucket_key").join(known, "bucket_key").select("id", "key", F.col("rank").alias("turn"), "ahead", "n", "start", "take")
 
 
+def candidates(queries: DataFrame, refs: DataFrame, p: SearchParams, order: DataFrame | None = None) -> DataFrame:
+    """A block of queries with the references that each may look at, and their distance."""
+    v = visits(queries, refs, p, order)
+    slim = refs.select(F.col("bucket_key").alias("key"), "ref_id", "label", *DIMS)
+    q = knn.as_queries(queries).drop("q_kd_key", "q_bucket_key")
+    near = slim.join(v, "key").where(F.col("ref_id") - F.col("start") < F.col("take")).join(F.broadcast(q), "id")
+    return near.select("id", "turn", "ahead", "take", "ref_id", "label", knn.distance().alias("dist"))
+
+
 def search(queries: DataFrame, refs: DataFrame, p: SearchParams, order: DataFrame | None = None) -> DataFrame:
     """The top five among the candidates visited, ties by scan position; with candidates, the number scanned.
 
     The stop at early_candidates depends on the labels met so far, so it is decided on five rows a bucket."""
-    v = visits(queries, refs, p, order)
-    slim = refs.select(F.col("bucket_key").alias("key"), "ref_id", "label", *DIMS)
-    q = knn.as_queries(queries).drop("q_kd_key", "q_bucket_key")
-    pairs = slim.join(v, "key").where(F.col("ref_id") - F.col("start") < F.col("take")).join(F.broadcast(q), "id").withColumn("dist", knn.distance())
+    pairs = knn.in_blocks(queries, lambda block: candidates(block, refs, p, order))
     w = Window.partitionBy("id", "turn").orderBy("dist", "ref_id")
-    best = pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= K).select("id", "turn", "ahead", "take", "ref_id", "label", "dist")
+    best = pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= K).drop("r")
 
     def stop(group: pd.DataFrame) -> pd.DataFrame:
         top, scanned = group.iloc[:0], 0
@@ -55,10 +61,7 @@ def search(queries: DataFrame, refs: DataFrame, p: SearchParams, order: DataFram
 
 def prefix_search(queries: DataFrame, refs: DataFrame, p: SearchParams) -> DataFrame:
     """search() where early = min: the prefix of buckets is then known beforehand, all in the JVM."""
-    v = visits(queries, refs, p)
-    slim = refs.select(F.col("bucket_key").alias("key"), "ref_id", "label", *DIMS)
-    q = knn.as_queries(queries).drop("q_kd_key", "q_bucket_key")
-    pairs = slim.join(v, "key").where(F.col("ref_id") - F.col("start") < F.col("take")).join(F.broadcast(q), "id").withColumn("dist", knn.distance())
+    pairs = knn.in_blocks(queries, lambda block: candidates(block, refs, p))
     w = Window.partitionBy("id").orderBy("dist", "turn", "ref_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= K).select(*knn.RESULT)
 

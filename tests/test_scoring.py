@@ -104,3 +104,16 @@ def test_queries_match_sql(spark, name):
     cursor = con.execute(catalogue.ORACLE_SQL[name])
     at = [[d[0] for d in cursor.description].index(c) for c in got.columns]
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in cursor.fetchall())
+
+
+@pytest.mark.parametrize("name", ["knn_two_pass", "knn_kd", "ann_prefix", "ann_general", "embedding_knn"])
+def test_blocks_of_queries(spark, monkeypatch, name):
+    """Queries that come in several blocks get what they get in one."""
+    expected = sorted(map(repr, catalogue.QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 12)
+    assert sorted(map(repr, catalogue.QUERIES[name](spark, SF).collect())) == expected
+
+
+def test_blocks_are_counted(spark):
+    with pytest.raises(ValueError):
+        knn.blocks(spark.range(1).selectExpr("explode(sequence(1, 50)) n", "7 id"), 10)
