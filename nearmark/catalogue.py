@@ -286,9 +286,7 @@ def _canary(spark, d):
 
 @register("canary_sample", o.KEYED + " , p AS (SELECT id, row_number() OVER (ORDER BY id) AS position FROM qs) SELECT id FROM p WHERE position <= 10 OR position % 7 = 0")
 def _canary_sample(spark, d):
-    from pyspark.sql import Window
-
-    q = fixtures.queries(spark, d).select("id", F.row_number().over(Window.orderBy("id")).alias("position"))
+    q = stats.positions(fixtures.queries(spark, d).select("id"), "id")
     return q.where(predicates.canary_sample(F.col("position"), 10, 7)).select("id")
 
 

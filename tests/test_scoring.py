@@ -117,3 +117,9 @@ def test_blocks_of_queries(spark, monkeypatch, name):
 def test_blocks_are_counted(spark):
     with pytest.raises(ValueError):
         knn.blocks(spark.range(1).selectExpr("explode(sequence(1, 50)) n", "7 id"), 10)
+
+
+def test_positions(spark):
+    ids = [7, 3, 250, 99, 100, 1000]
+    got = stats.positions(spark.createDataFrame([(i,) for i in ids], "id long"), "id", 100).collect()
+    assert {r["id"]: r["position"] for r in got} == {i: k + 1 for k, i in enumerate(sorted(ids))}
