@@ -18,6 +18,8 @@ from ..config import DIM, DIMS, K
 
 #: Rows of one broadcast block of queries.
 QUERY_BLOCK = 20_000
+#: References of one partition that about meet in one task when other partitions are searched.
+REF_SLICE = 250_000
 Q = [f"q{i}" for i in range(DIM)]
 RESULT = ["id", "rank", "ref_id", "label", "dist"]
 
@@ -126,8 +128,12 @@ def box_bound() -> Column:
 
 
 def kd_plan(queries: DataFrame, refs: DataFrame, boxes: DataFrame, max_partitions: int = 256, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(own partition's top k, other partitions worth a visit, result) of the partition-pruned search."""
+    """(own partition's top k, other partitions worth a visit, result) of the partition-pruned search.
+
+    There are 256 partitions at most, so their references are dealt in counted slices; a visit goes to every slice."""
     q = as_queries(queries)
+    boxes = refs.sparkSession.createDataFrame(boxes.collect(), boxes.schema)  # 256 rows at most, aggregated once
+    slices = F.broadcast(boxes.select("kd_key", F.ceil(F.col("n") / REF_SLICE).cast("int").alias("slices")))
     slim = refs.select("kd_key", "ref_id", "label", *DIMS)
     own = lambda block: slim.join(F.broadcast(block), F.col("kd_key") == F.col("q_kd_key")).withColumn("dist", distance())
     first = top(in_blocks(q, own), k)
@@ -138,7 +144,9 @@ def kd_plan(queries: DataFrame, refs: DataFrame, boxes: DataFrame, max_partition
         w = Window.partitionBy("id").orderBy("lower", "kd_key")
         visits = visits.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= max_partitions - 1).drop("turn")
     visits = visits.select("id", "kd_key", "bound", "lower", *Q)
-    second = slim.join(visits, "kd_key").withColumn("dist", distance()).where("bound is null or dist <= bound")
+    dealt = slim.join(slices, "kd_key").withColumn("slice", F.pmod(F.xxhash64("ref_id"), F.col("slices")).cast("int")).drop("slices")
+    sent = visits.join(slices, "kd_key").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    second = dealt.join(sent, ["kd_key", "slice"]).withColumn("dist", distance()).where("bound is null or dist <= bound")
     both = first.select("id", "ref_id", "label", "dist").unionByName(second.select("id", "ref_id", "label", "dist"))
     return first, visits, top(both, k)
 

@@ -114,6 +114,14 @@ def test_blocks_of_queries(spark, monkeypatch, name):
     assert sorted(map(repr, catalogue.QUERIES[name](spark, SF).collect())) == expected
 
 
+@pytest.mark.parametrize("name", ["knn_kd", "knn_kd_capped"])
+def test_slices_of_partitions(spark, monkeypatch, name):
+    """References dealt in many slices give what they give in one."""
+    expected = sorted(map(repr, catalogue.QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(knn, "REF_SLICE", 10)
+    assert sorted(map(repr, catalogue.QUERIES[name](spark, SF).collect())) == expected
+
+
 def test_blocks_are_counted(spark):
     with pytest.raises(ValueError):
         knn.blocks(spark.range(1).selectExpr("explode(sequence(1, 50)) n", "7 id"), 10)
