@@ -6,6 +6,7 @@ they come in blocks of bounded rows, and each block is broadcast.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DIM, DIMS, K
+from ..storage import written
 
 #: Rows of one broadcast block of queries.
 QUERY_BLOCK = 20_000
@@ -136,7 +138,8 @@ def kd_plan(queries: DataFrame, refs: DataFrame, boxes: DataFrame, max_partition
     slices = F.broadcast(boxes.select("kd_key", F.ceil(F.col("n") / REF_SLICE).cast("int").alias("slices")))
     slim = refs.select("kd_key", "ref_id", "label", *DIMS)
     own = lambda block: slim.join(F.broadcast(block), F.col("kd_key") == F.col("q_kd_key")).withColumn("dist", distance())
-    first = top(in_blocks(q, own), k)
+    # Written, as bounds and result both read it: k rows a query.
+    first = written(refs.sparkSession, f"own {uuid.uuid4().hex}", lambda: top(in_blocks(q, own), k))
     bound = first.where(F.col("rank") == k).select("id", F.col("dist").alias("bound"))
     placed = q.join(bound, "id", "left").crossJoin(F.broadcast(boxes)).where("kd_key <> q_kd_key").withColumn("lower", box_bound())
     visits = placed.where("bound is null or lower <= bound")
