@@ -73,8 +73,13 @@ RUN = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("
 
 
 def split_first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first of each set of equal runs by (doc, row, position), and all the others."""
+    """The first of each set of equal runs by (doc, row, position), and all the others.
+
+    Rows alike in doc and row are one document, so their equal entries count once, from whatever batches they come."""
     rows = rows[np.lexsort((rows["first"], rows["row"], rows["doc"], rows["h2"], rows["h1"]))]
+    again = np.zeros(len(rows), bool)
+    again[1:] = np.all([rows[c][1:] == rows[c][:-1] for c in ("h1", "h2", "doc", "row", "first")], axis=0)
+    rows = rows[~again]
     new = np.ones(len(rows), bool)
     new[1:] = (rows["h1"][1:] != rows["h1"][:-1]) | (rows["h2"][1:] != rows["h2"][:-1])
     return rows[new], rows[~new]

@@ -251,6 +251,16 @@ def test_substring(spark, docs, empty):
     assert not first and substring_dedup.remove_repeats(spark, empty).count() == 0
 
 
+def test_substring_repeated_rows(spark):
+    """Rows alike in doc_id and text lie in two partitions and are still one document: its only run stays."""
+    text = " ".join(f"once{i}" for i in range(30)) + ". " + " ".join(f"more{i}" for i in range(15)) + "."
+    rows = [(7, text), (7, text), (None, text.upper().replace("E", "F")), (None, text.upper().replace("E", "F"))]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([rows[0], rows[2], rows[1], rows[3]], 2), "doc_id long, text string")
+    assert docs.rdd.getNumPartitions() == 2
+    got = substring_dedup.remove_repeats(spark, docs).collect()
+    assert len(got) == 4 and all(r["n_removed"] == 0 and r["kept_text"] == r["text"] for r in got)
+
+
 def test_quality_rules(spark, docs, empty):
     rows, found = quality_rules.judge(spark, docs, table(spark, "labels"))
     got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in rows.collect())
