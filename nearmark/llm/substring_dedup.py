@@ -1,9 +1,10 @@
 """Substring deduplication by sliding runs of consecutive sentences.
 
-From every sentence a run reaches over following ones until it has MIN_SENTENCES sentences and MIN_WORDS words
-(one sentence of LONE_WORDS words is a run by itself).  Runs depend on what follows their start only, so a shared
-passage has the same runs in every document.  Runs are hashed to 128 bits; of equal runs the one with the
-smallest (doc_id, position) stays and sentences covered by any other are removed.
+From every sentence a run reaches over following ones, and up to every sentence one over those before it, until
+it has MIN_SENTENCES sentences and MIN_WORDS words; besides, one sentence of LONE_WORDS words is a run by itself.
+Every longer run is a union of such shortest ones, so a passage shared by two documents is covered from its first
+sentence to its last.  Runs are hashed to 128 bits; of equal runs the one with the smallest (doc_id, position)
+stays and sentences covered by any other are removed.
 
 Each batch of documents settles its own repeats: all but the first of equal runs in it are known to be non-first,
 so a run is passed on once a batch, however common it is.  What is passed on is packed by hash range into binary
@@ -49,19 +50,21 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def runs(text: str, least: int = MIN_SENTENCES, words: int = MIN_WORDS, lone: int = LONE_WORDS) -> list[tuple[int, int, bytes]]:
-    """(first sentence, last sentence, digest) of the run from each sentence that has one."""
+    """(first sentence, last sentence, digest) of the shortest runs from and up to each sentence, by position."""
     parts = [text[a:b].lower().split() for a, b in sentences(text)]
-    sizes = [len(p) for p in parts]
-    upto = np.concatenate([[0], np.cumsum(sizes)])
-    out = []
-    for i in range(len(parts)):
-        if sizes[i] >= lone:
-            j = i
-        else:
-            j = max(i + least - 1, int(np.searchsorted(upto, upto[i] + words)) - 1)
-        if j < len(parts) and sizes[i]:
-            out.append((i, j, xxhash.xxh3_128_digest("\x1f".join(w for p in parts[i : j + 1] for w in p).encode("utf-8", "surrogatepass"))))
-    return out
+    upto = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    n = len(parts)
+    at = np.arange(n)
+    filled = upto[1:] > upto[:-1]
+    ends = np.maximum(at + least - 1, np.searchsorted(upto, upto[:-1] + words) - 1)
+    starts = np.minimum(at - least + 1, np.searchsorted(upto, upto[1:] - words, "right") - 1)
+    found = {(i, int(ends[i])) for i in np.flatnonzero(filled & (ends < n)).tolist()}
+    for j in np.flatnonzero(filled & (starts >= 0)).tolist():
+        if filled[starts[j]]:
+            found.add((int(starts[j]), j))
+    found.update((i, i) for i in np.flatnonzero(np.diff(upto) >= lone).tolist())
+    raw = ["\x1f".join(p).encode("utf-8", "surrogatepass") for p in parts]
+    return [(i, j, xxhash.xxh3_128_digest(b"\x1f".join(raw[i : j + 1]))) for i, j in sorted(found)]
 
 
 def _covers(rows: np.ndarray) -> pa.RecordBatch:

@@ -261,6 +261,35 @@ def test_substring_repeated_rows(spark):
     assert len(got) == 4 and all(r["n_removed"] == 0 and r["kept_text"] == r["text"] for r in got)
 
 
+def test_substring_every_run(spark):
+    """What goes is what any run of 2 sentences and 20 words, or any sentence of 40, has earlier, whatever its length."""
+    import random
+
+    def sentence(name, n):
+        return " ".join(f"{name}{i}" for i in range(n)) + "."
+
+    long = f"{sentence('a', 45)} {sentence('b', 30)}"
+    tail = f"{sentence('c', 12)} {sentence('d', 12)} {sentence('e', 4)}"
+    texts = [f"{sentence('p', 30)} {long} {sentence('q', 30)}", f"{sentence('r', 30)} {long} {sentence('s', 30)}", f"{sentence('t', 30)} {tail} {sentence('u', 30)}", f"{sentence('v', 30)} {tail} {sentence('w', 30)}"]
+    pick = random.Random(5)
+    pool = [sentence(f"x{k}y", n) for k, n in enumerate([1, 2, 4, 7, 9, 12, 19, 20, 25, 40, 45])]
+    texts += ["\n " * (k % 3) + " ".join(pick.choices(pool, k=pick.randint(1, 12))) for k in range(60)]
+    seen, expected = set(), {}
+    for doc, text in enumerate(texts):
+        parts = [text[a:b].split() for a, b in substring_dedup.sentences(text)]
+        gone = set()
+        for i in range(len(parts)):
+            for j in range(i, len(parts)):
+                run = tuple(w for p in parts[i : j + 1] for w in p)
+                if parts[i] and (j > i and len(run) >= 20 or j == i and len(run) >= 40):
+                    gone |= set(range(i, j + 1)) if run in seen else set()
+                    seen.add(run)
+        expected[doc] = sorted(gone)
+    assert expected[1] == [1, 2] and expected[3] == [1, 2, 3]
+    got = substring_dedup.remove_repeats(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["removed"] for r in got} == expected
+
+
 def test_quality_rules(spark, docs, empty):
     rows, found = quality_rules.judge(spark, docs, table(spark, "labels"))
     got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in rows.collect())
