@@ -61,7 +61,8 @@ APART_WORDS = frozenset(
 WHOLE = frozenset("html body main article".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after the other, so that neither a part of a name nor a value's content is taken for one.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
@@ -102,10 +103,10 @@ def tokens(page: str | None) -> Iterator[Token]:
             continue
         words, hidden = set(), False
         for a in _ATTRIBUTE.finditer(m[3]) if m[3] else ():
-            value = (a[2] or a[3] or a[4] or "").lower()
-            if a[1].lower() in ("hidden", "aria-hidden"):
-                hidden |= a[1].lower() == "hidden" or value == "true"
-            else:
+            name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+            if name in ("hidden", "aria-hidden"):
+                hidden |= name == "hidden" or value == "true"
+            elif name in ("class", "id", "role"):
                 words.update(w for w in _PARTS.split(value) if w)
         label = tag + "".join(f".{w}" for w in sorted(words) if not w.isdigit())
         marked = tag not in WHOLE and not APART_WORDS.isdisjoint(words)

@@ -208,6 +208,15 @@ def test_html_sample(spark, monkeypatch):
     assert sorted(map(repr, html_wrapper.extract(spark, many).collect())) == got
 
 
+def test_html_attributes():
+    """Attributes are whole names; what stands in other names and values is none."""
+    for shown in ('style="overflow:hidden"', 'data-hidden="false"', "title='hidden costs'", 'data-id="search-1"', "data-class=menu", 'title="a class=menu b"', "href=/x/hidden", 'aria-hidden="false"', "x = hidden"):
+        assert html_wrapper.main_text(f"<body><article {shown}><p>Text</p></article></body>", None) == "Text", shown
+        assert html_wrapper.main_text(f"<body><div {shown}>Text</div></body>", None) == "Text", shown
+    for apart in ("hidden", "HIDDEN=''", 'aria-hidden="true"', 'title="x" hidden', "class = menu", "ID='search'", 'data-a="b"role=navigation'):
+        assert html_wrapper.main_text(f"<body><div {apart}>Text</div></body>", None) == "", apart
+
+
 def test_wrapper_expression():
     pages = ["<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><h2>o</h2><p>y</p>"]
     assert html_wrapper.expression(html_wrapper.infer(pages)) == "<ul>(<li>#</li>)+</ul>(<h2>o</h2>)?<p>#</p>"
