@@ -1,15 +1,16 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from pages of one host.
 
 Pages become token streams of tags and texts.  A stream is first folded: consecutive groups of the same shape
-become one repeated group.  Streams of up to FIT_PAGES different pages of a host are then aligned one after the
-other; what only one side has becomes an optional group, texts that differ become slots and texts that never do
-are template text.  The wrapper tells for each tag path whether its text is template or slot, and which path
-holds most slot text.  A page's main text is what lies in its article (or main) element, else in the wrapper's
+become one repeated group.  Streams of one shape merge, and those of all shapes of a host are aligned one after
+the other; what only one side has becomes an optional group, texts that differ become slots and texts that never
+do are template text.  The wrapper tells for each tag path whether its text is template or slot, and how much slot
+text it holds; a page's main path is that of its own which holds most on the pages that have it.  A page's main text is what lies in its article (or main) element, else in the wrapper's
 main path, less the parts that by tag, class, id or role are menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles or comments, and outside of articles less template text.
 
-Fitting reads FIT_PAGES different pages a host (a documented bound; chosen by a hash of the html); extraction
-covers every page whole.  Hosts with one page get the rules without a wrapper.
+Fitting reads every different page of a host whole, copies once: batches merge their pages by shape, then shapes
+are aligned in levels, in an order that doesn't depend on the partitions.  Hosts with one page get the rules
+without a wrapper.
 
 Defined results: null and empty html gives an empty text; null urls share one host; broken or cut off markup is
 read as far as it goes; rows that repeat a page_id are extracted each; an empty table gives an empty result.
@@ -19,9 +20,11 @@ from __future__ import annotations
 
 import html
 import json
+import pickle
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
@@ -32,15 +35,18 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
+#: Pages of a host that sample() chooses; fitting reads all.
 FIT_PAGES = 6
-#: Tokens of a page used for fitting, and characters of one template text.
-FIT_TOKENS = 4000
+#: Pages that a template text stands on at least, and its characters at most.
+TEMPLATE_PAGES = 3
 TEMPLATE_CHARS = 200
+#: Tasks to which the shapes of one host's pages are dealt.
+BUCKETS = 64
 MOST_PERIOD = 24
-#: Wrappers, and the ids of the pages they are fitted on, are broadcast up to this many bytes in all; more are
+#: Wrappers, and the ids of repeated pages, are broadcast up to this many bytes in all; more are
 #: joined through a shuffle.
 WRAPPER_BYTES = 8_000_000
-#: Bytes of a chosen page's row besides its host.
+#: Bytes of a repeated page's row besides its host.
 CHOSEN_BYTES = 40
 
 #: Fixed sets of HTML: elements without content, raw text elements, inline elements, elements a start tag closes.
@@ -127,23 +133,27 @@ class Block:
     apart: bool  # in a part that is no main text
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The page's blocks of text, white space and references resolved, with where they are."""
+def events(page: str | None) -> Iterator[Block | Token]:
+    """The page's blocks of text, white space and references resolved, and its tags that aren't inline, in order."""
     stack: list[Token] = []
-    out: list[Block] = []
     now: list[str] = []
 
-    def flush() -> None:
+    def flush() -> Iterator[Block]:
         if now and (text := clean("".join(now))):
             outer = [t for t in stack if t.tag not in INLINE]
             article = any(t.tag in ("article", "main") for t in stack)
-            out.append(Block(text, "/".join(t.name for t in outer), article, any(t.apart for t in stack)))
+            yield Block(text, "/".join(t.name for t in outer), article, any(t.apart for t in stack))
         now.clear()
 
-    def pop_to(tag: str) -> None:
+    def pop_from(k: int) -> Iterator[Token]:
+        closed = [Token("close", t.tag, t.tag) for t in reversed(stack[k:]) if t.tag not in INLINE]
+        del stack[k:]
+        yield from closed
+
+    def pop_to(tag: str) -> Iterator[Token]:
         for k in range(len(stack) - 1, -1, -1):
             if stack[k].tag == tag:
-                del stack[k:]
+                yield from pop_from(k)
                 return
 
     for t in tokens(page):
@@ -153,18 +163,24 @@ def blocks(page: str | None) -> list[Block]:
             now.append(" ")
         elif t.kind == "open":
             if t.tag not in INLINE or t.apart:
-                flush()
+                yield from flush()
             if t.tag in CLOSES_P and any(s.tag == "p" for s in stack):
-                pop_to("p")
+                yield from pop_to("p")
             elif t.tag in CLOSED_BY and stack and stack[-1].tag in CLOSED_BY[t.tag]:
-                stack.pop()
+                yield from pop_from(len(stack) - 1)
             stack.append(t)
+            if t.tag not in INLINE:
+                yield t
         else:
             if t.tag not in INLINE or (stack and stack[-1].apart):
-                flush()
-            pop_to(t.tag)
-    flush()
-    return out
+                yield from flush()
+            yield from pop_to(t.tag)
+    yield from flush()
+
+
+def blocks(page: str | None) -> list[Block]:
+    """The page's blocks of text with where they are."""
+    return [e for e in events(page) if isinstance(e, Block)]
 
 
 @dataclass(slots=True)
@@ -173,8 +189,9 @@ class Node:
 
     kind: str  # 'tag', 'text', 'optional', 'repeat'
     key: str
-    texts: set[str] = field(default_factory=set)  # of a text: what was seen
-    seen: int = 0  # pages
+    texts: set[str] = field(default_factory=set)  # of a text: the least two seen; two make a slot
+    seen: int = 0  # pages that have it
+    size: int = 0  # characters of its texts, but for parts that are no main text
     inner: list[Node] = field(default_factory=list)
 
     @property
@@ -185,22 +202,12 @@ class Node:
 
 
 def page_nodes(page: str) -> list[Node]:
-    out, path = [], []
-    for t in tokens(page):
-        if t.kind == "text":
-            if text := clean(t.name):
-                out.append(Node("text", f"#{'/'.join(path)}", {text[: TEMPLATE_CHARS + 1]}, 1))
-        elif t.kind == "open" and t.tag not in INLINE:
-            path.append(t.name)
-            out.append(Node("tag", f"<{t.name}>", seen=1))
-        elif t.kind == "close" and t.tag not in INLINE:
-            for k in range(len(path) - 1, -1, -1):
-                if path[k].split(".")[0] == t.tag:
-                    del path[k:]
-                    out.append(Node("tag", f"</{t.tag}>", seen=1))
-                    break
-        if len(out) >= FIT_TOKENS:
-            break
+    out = []
+    for e in events(page):
+        if isinstance(e, Block):
+            out.append(Node("text", f"#{e.path}", {e.text[: TEMPLATE_CHARS + 1]}, 1, 0 if e.apart else len(e.text)))
+        else:
+            out.append(Node("tag", f"<{e.name}>" if e.kind == "open" else f"</{e.tag}>", seen=1))
     return out
 
 
@@ -215,7 +222,7 @@ def fold(nodes: list[Node]) -> list[Node]:
             if j > i + period and (period > 1 or nodes[i].kind != "repeat"):
                 body = nodes[i : i + period]
                 for k in range(i + period, j, period):
-                    body = [merge(a, b) for a, b in zip(body, nodes[k : k + period], strict=True)]
+                    body = [merge(a, b, same=True) for a, b in zip(body, nodes[k : k + period], strict=True)]
                 out.append(Node("repeat", "", seen=1, inner=body))
                 i = j
             else:
@@ -225,22 +232,24 @@ def fold(nodes: list[Node]) -> list[Node]:
     return nodes
 
 
-def merge(a: Node, b: Node) -> Node:
-    """One node for two of the same shape."""
+def merge(a: Node, b: Node, same: bool = False) -> Node:
+    """One node for two of the same shape, of the same page or of different ones."""
+    seen = max(a.seen, b.seen) if same else a.seen + b.seen
     if a.kind == "text":
-        return Node("text", a.key, a.texts | b.texts, a.seen + b.seen)
-    inner = [merge(x, y) for x, y in zip(a.inner, b.inner, strict=True)]
-    return Node(a.kind, a.key, set(), a.seen + b.seen, inner)
+        return Node("text", a.key, set(sorted(a.texts | b.texts)[:2]), seen, a.size + b.size)
+    inner = [merge(x, y, same) for x, y in zip(a.inner, b.inner, strict=True)]
+    return Node(a.kind, a.key, set(), seen, 0, inner)
 
 
 def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
-    """The wrapper of both: common nodes merge; a group met once matches its repetition; the rest is optional."""
+    """The wrapper of two wrappers (a page is one): common nodes merge; a group met once matches its repetition; the
+    rest is optional."""
 
     def bare(nodes: list[Node]) -> list[Node]:
         return [x for n in nodes for x in (n.inner if n.kind == "optional" else [n])]
 
-    optional = {id(x) for n in wrapper if n.kind == "optional" for x in n.inner}
-    a, b = bare(wrapper), page
+    optional = {id(x) for n in (*wrapper, *page) if n.kind == "optional" for x in n.inner}
+    a, b = bare(wrapper), bare(page)
     out: list[Node] = []
 
     def add_optional(nodes: list[Node]) -> None:
@@ -251,13 +260,13 @@ def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
         if op == "equal":
             for x, y in zip(a[i1:i2], b[j1:j2], strict=True):
                 both = merge(x, y)
-                add_optional([both]) if id(x) in optional else out.append(both)
+                add_optional([both]) if id(x) in optional or id(y) in optional else out.append(both)
             continue
         left, right = a[i1:i2], b[j1:j2]
         if len(left) == 1 and left[0].kind == "repeat" and [n.shape for n in left[0].inner] == [n.shape for n in right]:
-            out.append(merge(left[0], Node("repeat", "", seen=1, inner=right)))
+            out.append(merge(left[0], Node("repeat", "", seen=max(n.seen for n in right), inner=right)))
         elif len(right) == 1 and right[0].kind == "repeat" and [n.shape for n in right[0].inner] == [n.shape for n in left]:
-            out.append(merge(Node("repeat", "", seen=1, inner=left), right[0]))
+            out.append(merge(Node("repeat", "", seen=max(n.seen for n in left), inner=left), right[0]))
         else:
             add_optional(left)
             add_optional(right)
@@ -286,22 +295,47 @@ def expression(wrapper: list[Node]) -> str:
     return "".join(map(one, wrapper))
 
 
-def summary(pages: list[str]) -> dict:
-    """What extraction needs of the wrapper: its main path and its template texts by path."""
-    wrapper, slots, template = infer(pages), Counter(), {}
+def by_shape(parts: Iterable[tuple[int, list[Node]]]) -> dict[str, tuple[int, list[Node]]]:
+    """Pages and nodes for each shape; merging is free of order, so it doesn't matter which task met which pages."""
+    out: dict[str, tuple[int, list[Node]]] = {}
+    for n, nodes in parts:
+        shape = "".join(x.shape for x in nodes)
+        if shape in out:
+            n, nodes = n + out[shape][0], [merge(x, y) for x, y in zip(out[shape][1], nodes, strict=True)]
+        out[shape] = (n, nodes)
+    return out
+
+
+def joined(parts: Iterable[tuple[int, list[Node]]]) -> tuple[int, list[Node]]:
+    """Pages and wrapper of several wrappers, from first to last."""
+    pages, wrapper = 0, []
+    for n, nodes in parts:
+        wrapper = align(wrapper, nodes) if pages else nodes
+        pages += n
+    return pages, wrapper
+
+
+def summary(wrapper: list[Node]) -> dict:
+    """What extraction needs of the wrapper: the slot text a page by path, and the template texts by path.
+
+    A text is template if it is the only one at its place and stands on TEMPLATE_PAGES pages or more; pages of
+    another layout need not have it."""
+    sizes, on, template = Counter(), Counter(), {}
 
     def walk(nodes: list[Node]) -> None:
         for n in nodes:
             if n.kind == "text":
                 path = n.key[1:]
-                if len(n.texts) == 1 and n.seen >= max(3, len(pages)) and len(text := next(iter(n.texts))) <= TEMPLATE_CHARS:
-                    template.setdefault(path, []).append(text)
-                elif not any(p.split(".")[0] in APART or not APART_WORDS.isdisjoint(p.split(".")[1:]) for p in path.split("/")):
-                    slots[path.rpartition("/")[0] or path] += sum(map(len, n.texts))
+                if len(n.texts) == 1 and n.seen >= TEMPLATE_PAGES and len(text := next(iter(n.texts))) <= TEMPLATE_CHARS:
+                    template.setdefault(path, set()).add(text)
+                elif n.size:
+                    parent = path.rpartition("/")[0] or path
+                    sizes[parent] += n.size
+                    on[parent] = max(on[parent], n.seen)
             walk(n.inner)
 
     walk(wrapper)
-    return {"main": max(slots, key=lambda p: (slots[p], p), default=""), "template": template}
+    return {"main": {p: sizes[p] / on[p] for p in sorted(sizes)}, "template": {p: sorted(template[p]) for p in sorted(template)}}
 
 
 def main_text(page: str | None, learned: dict | None) -> str:
@@ -310,14 +344,22 @@ def main_text(page: str | None, learned: dict | None) -> str:
     if any(b.article for b in found):
         return "\n".join(b.text for b in found if b.article)
     if learned:
-        template = {p: set(v) for p, v in learned["template"].items()}
-        found = [b for b in found if b.text not in template.get(b.path, ())]
-        main = learned["main"]
-        inside = [b for b in found if main and (b.path == main or b.path.startswith(main + "/"))]
-        found = inside or found
+        found = [b for b in found if b.text not in learned["template"].get(b.path, ())]
+        found = in_main(found, learned["main"]) or found
     return "\n".join(b.text for b in found)
 
 
+def in_main(found: list[Block], sizes: dict[str, float]) -> list[Block]:
+    """The blocks in that of the page's own paths which holds most slot text on the pages that have it."""
+    own = set()
+    for path in {b.path for b in found}:
+        while path and path not in own:
+            own.add(path)
+            path = path.rpartition("/")[0]
+    main = max(own & sizes.keys(), key=lambda p: (sizes[p], p), default="")
+    return [b for b in found if main and (b.path == main or b.path.startswith(main + "/"))]
+
+
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -333,30 +375,58 @@ def sample(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
     return different.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fit_pages)
 
 
-def wrappers(space: Workspace, pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
-    """host and the summary of its wrapper as JSON, for hosts of two different pages or more."""
+def different(pages: DataFrame, space: Workspace) -> DataFrame:
+    """host and html of each different page of each host."""
+    texts = pages.where("html is not null").select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("at"), "page_id", "html")
+    counts = texts.groupBy("host", "at").agg(F.min("page_id").alias("_id"), F.count("*").alias("_n"))
+    repeated = space.keep(counts.where("_n > 1").select(F.col("host").alias("_host"), F.col("at").alias("_at"), "_id"), "repeated")
+    same = (F.col("host") == F.col("_host")) & (F.col("at") == F.col("_at"))
+    if (repeated.agg(F.sum(F.octet_length("_host") + CHOSEN_BYTES)).first()[0] or 0) <= WRAPPER_BYTES:
+        marked = texts.join(F.broadcast(repeated), same, "left")
+        single, copies = marked.where("_at is null"), marked.where("_at is not null and page_id <=> _id")
+    else:  # ids decide, so that copies of a page don't meet
+        ids = space.keep(counts.select(F.col("host").alias("_host"), F.col("at").alias("_at"), "_id", "_n"), "ids")
+        marked = texts.join(ids, same & texts["page_id"].eqNullSafe(F.col("_id")))
+        single, copies = marked.where("_n = 1"), marked.where("_n > 1")
+    # Rows that repeat page_id and html are settled in their own task first.
+    return single.select("host", "at", "html").unionByName(copies.select("host", "at", "html").dropDuplicates(["host", "at"])).drop("at")
+
+
+def wrappers(space: Workspace, pages: DataFrame) -> DataFrame:
+    """host and the summary of its wrapper as JSON, for hosts of two different pages or more.
+
+    Each batch merges its pages of one shape; shapes are dealt to BUCKETS tasks a host, whose wrappers are joined."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[str, list] = {}
+            for name, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.setdefault(name, []).append((1, fold(page_nodes(page.as_py()))))
+            rows = [(name, zlib.crc32(shape.encode("utf-8", "surrogatepass")) % BUCKETS, pickle.dumps(part)) for name, parts in held.items() for shape, part in by_shape(parts).items()]
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=False)] if rows else None
+            if columns:
+                yield pa.RecordBatch.from_arrays(columns, ["host", "bucket", "part"])
+
+    def bucket(group: pd.DataFrame) -> pd.DataFrame:
+        shapes = by_shape(map(pickle.loads, group["part"]))
+        whole = joined(shapes[s] for s in sorted(shapes))
+        return pd.DataFrame([(group["host"].iloc[0], group["bucket"].iloc[0], pickle.dumps(whole))], columns=["host", "bucket", "part"])
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        different = list(dict.fromkeys(group.sort_values("rank")["html"]))
-        rows = [(group["host"].iloc[0], json.dumps(summary(different)))] if len(different) > 1 else []
+        n, wrapper = joined(map(pickle.loads, group.sort_values("bucket")["part"]))
+        rows = [(group["host"].iloc[0], json.dumps(summary(wrapper)))] if n > 1 else []
         return pd.DataFrame(rows, columns=["host", "learned"])
 
-    chosen = space.keep(sample(pages, fit_pages), "chosen")
-    size = chosen.agg(F.sum(F.octet_length("host") + CHOSEN_BYTES)).first()[0] or 0
-    found = chosen.select("host", "rank", F.col("page_id").alias("_id"), F.col("at").alias("_at"))
-    found = F.broadcast(found) if size <= WRAPPER_BYTES else found
-    texts = pages.where("html is not null").select("page_id", F.xxhash64("html").alias("at"), "html")
-    rows = texts.join(found, texts["page_id"].eqNullSafe(F.col("_id")) & (texts["at"] == F.col("_at")))
-    # Rows that repeat a chosen page are settled in their own task first.
-    rows = rows.select("host", "rank", "html").dropDuplicates(["host", "rank"])
-    return rows.groupBy("host").applyInPandas(fit, "host string, learned string")
+    form = "host string, bucket int, part binary"
+    parts = different(pages, space).mapInArrow(partial, form)
+    return parts.groupBy("host", "bucket").applyInPandas(bucket, form).groupBy("host").applyInPandas(fit, "host string, learned string")
 
 
-def extract(spark: SparkSession, pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
+def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages."""
     pages = pages.select("page_id", "url", "html")
     space = Workspace(spark, "wrappers")
-    learned = space.keep(wrappers(space, pages, fit_pages), "learned")
+    learned = space.keep(wrappers(space, pages), "learned")
     size = learned.agg(F.sum(F.octet_length("learned") + F.octet_length("host"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,6 +439,7 @@ def extract(spark: SparkSession, pages: DataFrame, fit_pages: int = FIT_PAGES) -
                     if len(parsed) > 1000:
                         parsed.clear()
                     parsed[raw] = json.loads(raw)
+                    parsed[raw]["template"] = {p: set(v) for p, v in parsed[raw]["template"].items()}
                 texts.append(main_text(page.as_py(), parsed.get(raw)))
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])

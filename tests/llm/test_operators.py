@@ -208,6 +208,23 @@ def test_html_sample(spark, monkeypatch):
     assert sorted(map(repr, html_wrapper.extract(spark, many).collect())) == got
 
 
+def test_html_every_page(spark):
+    """Layouts that few of a host's pages have, and what stands after token 4000, are learned too; rows' places and
+    copies change nothing."""
+    wide = "<body><div class=story>{}</div><div class=imprint><p>Printed by nobody</p></div></body>"
+    rare = "<body><section><p>{}</p><h3>Heading</h3><p>{}</p></section><div class=imprint><p>All rights kept</p></div></body>"
+    rows = [(i, "http://a.example/x", wide.format("".join(f"<p>word {i} {j}</p>" for j in range(3)))) for i in range(60)]
+    rows += [(100 + i, "http://a.example/y", rare.format(f"first of {i}", f"second of {i}")) for i in range(4)]
+    rows += [(200 + i, "http://b.example/z", wide.format("".join(f"<p>b {i} {j}</p><h{j % 6 + 1}>{i}</h{j % 6 + 1}>" for j in range(1000)))) for i in range(3)]
+    schema = "page_id long, url string, html string"
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark, spark.createDataFrame(rows, schema).repartition(3)).collect()}
+    assert all(got[i] == "\n".join(f"word {i} {j}" for j in range(3)) for i in range(60))
+    assert all(got[100 + i] == f"first of {i}\nsecond of {i}" for i in range(4))
+    assert all("Printed" not in got[200 + i] and got[200 + i].endswith(f"b {i} 999\n{i}") for i in range(3))
+    again = spark.createDataFrame(rows[::-1] + rows[:1] * 20, schema).repartition(5)
+    assert {r["page_id"]: r["text"] for r in html_wrapper.extract(spark, again).collect()} == got
+
+
 def test_html_attributes():
     """Attributes are whole names; what stands in other names and values is none."""
     for shown in ('style="overflow:hidden"', 'data-hidden="false"', "title='hidden costs'", 'data-id="search-1"', "data-class=menu", 'title="a class=menu b"', "href=/x/hidden", 'aria-hidden="false"', "x = hidden"):
