@@ -4,9 +4,10 @@ Pages become token streams of tags and texts.  A stream is first folded: consecu
 become one repeated group.  Streams of one shape merge, and those of all shapes of a host are aligned one after
 the other; what only one side has becomes an optional group, texts that differ become slots and texts that never
 do are template text.  The wrapper tells for each tag path whether its text is template or slot, and how much slot
-text it holds; a page's main path is that of its own which holds most on the pages that have it.  A page's main text is what lies in its article (or main) element, else in the wrapper's
-main path, less the parts that by tag, class, id or role are menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles or comments, and outside of articles less template text.
+text it holds; a page's main path is that of its own which holds most on the pages that have it.  A page's main text is what lies in its main path, or in the article (or main) element that holds the path, less
+template text and less the parts that by tag, class, id or role are menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles or comments.  Only pages of which no path has slot text go by their article
+element alone.
 
 Fitting reads every different page of a host whole, copies once: batches merge their pages by shape, then shapes
 are aligned in levels, in an order that doesn't depend on the partitions.  Hosts with one page get the rules
@@ -341,22 +342,28 @@ def summary(wrapper: list[Node]) -> dict:
 def main_text(page: str | None, learned: dict | None) -> str:
     """The page's main text, blocks joined by line feeds."""
     found = [b for b in blocks(page) if not b.apart]
-    if any(b.article for b in found):
-        return "\n".join(b.text for b in found if b.article)
     if learned:
         found = [b for b in found if b.text not in learned["template"].get(b.path, ())]
-        found = in_main(found, learned["main"]) or found
-    return "\n".join(b.text for b in found)
+        inside = in_main(found, learned["main"])
+        if inside:
+            return "\n".join(b.text for b in inside)
+    return "\n".join(b.text for b in [b for b in found if b.article] or found)
 
 
 def in_main(found: list[Block], sizes: dict[str, float]) -> list[Block]:
-    """The blocks in that of the page's own paths which holds most slot text on the pages that have it."""
+    """The blocks in that of the page's own paths which holds most slot text on the pages that have it; of a path in
+    an article (or main) element, all that the element holds."""
     own = set()
     for path in {b.path for b in found}:
         while path and path not in own:
             own.add(path)
             path = path.rpartition("/")[0]
     main = max(own & sizes.keys(), key=lambda p: (sizes[p], p), default="")
+    tags = main.split("/")
+    for k, name in enumerate(tags):
+        if name.split(".")[0] in ("article", "main"):
+            main = "/".join(tags[: k + 1])
+            break
     return [b for b in found if main and (b.path == main or b.path.startswith(main + "/"))]
 
 

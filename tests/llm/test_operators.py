@@ -225,6 +225,16 @@ def test_html_every_page(spark):
     assert {r["page_id"]: r["text"] for r in html_wrapper.extract(spark, again).collect()} == got
 
 
+def test_html_wrapper_decides():
+    """Template text goes from articles too, and slot text decides where the main text is, with an article or not."""
+    article = "<body><article><h1>{0}</h1><p class=x>Tell your friends</p><section><p>{0} and more of it</p></section></article></body>"
+    teaser = "<body><article><p>{0}</p></article><div class=story><p>{0} a long text</p><p>{0} that goes on for a while</p></div></body>"
+    for page, expected in ((article, "{0}\n{0} and more of it"), (teaser, "{0} a long text\n{0} that goes on for a while")):
+        made = [page.format(f"n{i}") for i in range(4)]
+        learned = html_wrapper.summary(html_wrapper.infer(made))
+        assert [html_wrapper.main_text(p, learned) for p in made] == [expected.format(f"n{i}") for i in range(4)]
+
+
 def test_html_attributes():
     """Attributes are whole names; what stands in other names and values is none."""
     for shown in ('style="overflow:hidden"', 'data-hidden="false"', "title='hidden costs'", 'data-id="search-1"', "data-class=menu", 'title="a class=menu b"', "href=/x/hidden", 'aria-hidden="false"', "x = hidden"):
