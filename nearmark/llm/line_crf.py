@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,7 @@ def line_statistics(text: str | None, most: int | None = None) -> tuple[np.ndarr
     rows, seen, before = np.zeros((len(lines), OWN), np.float32), set(), None
     for i, line in enumerate(lines):
         b = line.encode("utf-8", "surrogatepass")
+        key = xxhash.xxh3_64_intdigest(b)
         n = max(len(b), 1)
         w = b.split()
         k = max(len(w), 1)
@@ -62,12 +64,11 @@ def line_statistics(text: str | None, most: int | None = None) -> tuple[np.ndarr
             min(sum(map(len, w)) / k, 20) / 5,
             len(set(w)) / k,
             len(set(zip(w, w[1:], strict=False))) / pairs,
-            line in seen if w else 0.0,
+            key in seen if w else 0.0,
             line == before if w else 0.0,
             not w,
         )
-        if len(seen) < 100_000:
-            seen.add(line)
+        seen.add(key)
         before = line
     return rows, np.array([len(x) for x in lines], np.float64)
 

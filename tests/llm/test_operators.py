@@ -93,6 +93,13 @@ def test_line_crf(spark, docs, empty):
     assert line_crf.score(docs, line_crf.train(spark, docs, labels.limit(0))).first()["score"] == 0.5
 
 
+def test_line_crf_late_repeat():
+    """A line that repeats one far down a very long text counts as a repeat."""
+    lines = [f"line {i}" for i in range(100_002)]
+    rows, _ = line_crf.line_statistics("\n".join([*lines, "other", lines[-1]]))
+    assert rows[-1, 8] == 1 and not rows[:-1, 8].any()
+
+
 def test_line_crf_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
