@@ -1,4 +1,4 @@
-"""Tables written once a session into the folder that driver and executors share."""
+"""Tables written into the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -14,15 +14,36 @@ _WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new local folder where it is unset and the master is local."""
-    conf = spark.sparkContext.getConf()
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset.
+
+    Only a local master may go without the setting: a machine's own folder is no use to a cluster."""
+    sc = spark.sparkContext
+    conf = sc.getConf()
     if found := conf.get("spark.checkpoint.dir"):
         return found.rstrip("/")
-    if not conf.get("spark.master", "local").startswith("local"):
+    master = conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="nearmark-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return own
+    if not hasattr(sc, "_nearmark_shared_dir"):
+        own = tempfile.mkdtemp(prefix="nearmark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc._nearmark_shared_dir = own
+    return sc._nearmark_shared_dir
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, on whatever file system that is; it goes when the session's JVM ends."""
+    at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -31,9 +52,7 @@ def written(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> D
     Long derivations end here: what reads the table plans over plain columns, and a lost executor costs a read."""
     key = (spark.sparkContext.applicationId, name)
     if key not in _WRITTEN:
-        at = f"{shared_dir(spark)}/table-{uuid.uuid4().hex[:12]}"
+        at = f"{new_folder(spark, 'table')}/rows"
         build().write.parquet(at)
         _WRITTEN[key] = at
-        if (local := at.removeprefix("file://")).startswith("/"):
-            atexit.register(shutil.rmtree, local, ignore_errors=True)
     return spark.read.parquet(_WRITTEN[key])
