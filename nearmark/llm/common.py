@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_folder, remove
+
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\f\r"
 BLANK_CLASS = "[ \\t\\n\\x0B\\f\\r]"
@@ -43,57 +43,75 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset.
-
-    Only a local master may go without the setting: a machine's own folder is no use to a cluster."""
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir"):
-        return found.rstrip("/")
-    if not conf.get("spark.master", "local").startswith("local[") and conf.get("spark.master") != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not hasattr(spark.sparkContext, "_own_shared_dir"):
-        own = tempfile.mkdtemp(prefix="nearmark-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext._own_shared_dir = own
-    return spark.sparkContext._own_shared_dir
-
-
 class Workspace:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive lost executors.
 
-    Shuffle files of a finished step are removed with it, so a long operator holds one step's at a time."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-        if (local := self.path.removeprefix("file://")).startswith("/"):
-            atexit.register(shutil.rmtree, local, ignore_errors=True)
+    Shuffle files of a finished step are removed with it, so a long operator holds one step's at a time.  The
+    folder goes when the session's JVM ends, or earlier by drop() or by whoever collects spaces (see collected)."""
 
-        Workspace.open.append(self)
+    _collector: ContextVar[list[Workspace] | None] = ContextVar("spaces", default=None)
 
-    open: list[Workspace] = []
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path = spark, new_folder(spark, label)
+        self.tables: list[str] = []
+        if (mine := Workspace._collector.get()) is not None:
+            mine.append(self)
 
     @classmethod
-    def sweep(cls) -> None:
-        """Remove the tables of all operators so far; for when their results are written."""
-        while cls.open:
-            space = cls.open.pop()
-            space.drop("")
-
-    def keep(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    @contextmanager
+    def collected(cls) -> Iterator[list[Workspace]]:
+        """The spaces that are opened inside, and no others, for their owner to remove once its result is written."""
+        spaces: list[Workspace] = []
+        token = cls._collector.set(spaces)
+        try:
+            yield spaces
+        finally:
+            cls._collector.reset(token)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self.path}/{name}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(at)
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def keep_bucketed(self, df: DataFrame, name: str, buckets: int, *key: str) -> DataFrame:
+        """As keep, bucketed and sorted by key: joins and aggregates by key read it without an exchange."""
+        table = self.table_name(name)
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            out = df.write.bucketBy(buckets, *key).sortBy(*key).option("compression", "zstd").option("path", f"{self.path}/{name}")
+            out.format("parquet").mode("overwrite").saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
+    def table_name(self, name: str) -> str:
+        return f"nearmark_{self.path.rpartition('-')[2]}_{name.replace('-', '_')}"
+
     def drop(self, *names: str) -> None:
-        """Remove tables that nothing will read again."""
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
+        """Remove tables that nothing will read again; '' removes all."""
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            for table in [t for t in self.tables if not name or t == self.table_name(name)]:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+                self.tables.remove(table)
+            remove(self.spark, f"{self.path}/{name}" if name else self.path)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting while the block runs; afterwards it is as before."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """name, with underscores added until no frame has such a column (letter case aside)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: At most this many keys count as heavy, so this many rows at most are broadcast.

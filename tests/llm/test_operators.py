@@ -160,6 +160,52 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(spark, empty).count() == 0
 
 
+def test_line_dedup_odd_rows(spark):
+    """Rows alike lose what one loses; ids at both ends of 64 bits; columns named like the operator's own."""
+    rows = [(-(2**63), LINE), (2**63 - 1, LINE), (5, LINE), (5, LINE), (5, f"{LINE}\nother"), (6, f"{LINE}\nx\n{LINE}"), (7, LINE), (None, LINE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs = docs.withColumns({"_drop": F.lit(1), "_doc": F.lit("d"), "row": F.lit(2), "N_Lines": F.lit("q"), "kept_text": F.lit("k")})
+    out = line_dedup.dedup_lines(spark, docs)
+    assert out.columns == ["doc_id", "text", "_drop", "_doc", "row", "n_lines", "n_dropped", "kept_text"]
+    expected = [(i, 1 + t.count("\n"), t.count(LINE) if -(2**63) <= (2**63 - 1 if i is None else i) < 2**63 - 1 else 0) for i, t in rows]
+    got = out.collect()
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in got) == Counter(expected)
+    assert all(r["kept_text"] == (r["text"] if not r["n_dropped"] else "\n".join(x for x in r["text"].split("\n") if x != LINE)) for r in got)
+
+
+def test_line_runs_go_on(spark):
+    """Runs are read in order without an exchange, and go on from a saved list as in one go."""
+    from nearmark.llm.common import Workspace
+
+    batches = [spark.createDataFrame([(100 * k + i, h % 7, h % 5) for i in range(30) for h in (i * k, i + k)], "doc_id long, h1 long, h2 long") for k in range(9, 0, -1)]
+    whole = line_dedup.LineRuns(Workspace(spark, "whole"))
+    first = line_dedup.LineRuns(Workspace(spark, "first"))
+    for b in batches:
+        whole.add(b)
+    for b in batches[:4]:
+        first.add(b)
+    rest = line_dedup.LineRuns.load(spark, first.save())
+    for b in batches[4:]:
+        rest.add(b)
+    assert [len(level) for level in whole.levels] == [len(level) for level in rest.levels] == [0, 0, 1]
+    assert sorted(map(tuple, whole.close().collect())) == sorted(map(tuple, rest.close().collect()))
+    holders = defaultdict(set)
+    for b in batches:
+        for r in b.collect():
+            holders[r["h1"], r["h2"]].add(r["doc_id"])
+    assert {(r["h1"], r["h2"]): (r["n_docs"], r["keeper"]) for r in rest.close().collect()} == {k: (len(v), max(v)) for k, v in holders.items()}
+    two = line_dedup.LineRuns(Workspace(spark, "two"))
+    two.add(batches[0])
+    two.add(batches[1])
+    a, b = two._runs()
+    with line_dedup.in_order(spark):
+        plan = a.hint("merge").join(b.select("h1", "h2"), ["h1", "h2"], "left")._jdf.queryExecution().executedPlan().toString()
+    with line_dedup.by_rows(spark):
+        plan += line_dedup.merge_runs([a, b])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort [" not in plan and plan.count("Bucketed: true") == 4
+    assert two.close().count() == len({(r["h1"], r["h2"]) for x in batches[:2] for r in x.collect()})
+
+
 def test_minhash(spark, docs, empty):
     sets = [(r[0], frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if (w := words(ascii_lower(r[1] or ""))) else frozenset()) for r in ROWS]
     group = list(range(len(sets)))
