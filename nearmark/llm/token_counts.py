@@ -8,13 +8,18 @@ byte), 'end' (of its last byte), 'most' (the section with most of its bytes, the
 
 The vocabulary file is read by the driver, checked to be small, and broadcast.
 
+Long runs of white space are cut out before encoding, just where the split pattern cuts them (all of a run but its
+last character is one piece, or all of it at the end of the text), as the pattern's matcher fails on them.
+
 Defined results: null and empty texts are one empty section without tokens; null doc_ids are carried; rows that
-repeat a doc_id are counted each; an empty table gives an empty result; further columns play no part.
+repeat a doc_id are counted each; a very long text, or one long run of any character, is encoded like any other; on
+ties 'most' takes the earlier section; an empty table gives an empty result; further columns play no part.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The fixed pattern that splits text before merges of this vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed: white space as the pattern means it; runs of so many characters are cut out beforehand.
+LONG_BLANK = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 MOST_BYTES = 64_000_000
 RULES = ("start", "end", "most", "share")
 SCHEMA = "doc_id long, section int, n_bytes long, n_tokens double, n_crossing long"
@@ -47,9 +54,18 @@ class Encoder:
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
 
+    def encode(self, text: str) -> list[int]:
+        out, at = [], 0
+        for m in LONG_BLANK.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += self.encoding.encode_ordinary(text[at : m.start()])
+            out += self.encoding._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + self.encoding.encode_ordinary(text[at:]) if at else self.encoding.encode_ordinary(text)
+
     def ends(self, text: str) -> np.ndarray:
         """The end of each token in bytes; a token starts where the one before ends."""
-        return np.cumsum(self.sizes[np.array(self.encoding.encode_ordinary(text), np.int64)])
+        return np.cumsum(self.sizes[np.array(self.encode(text), np.int64)])
 
 
 def section_ends(text: str) -> np.ndarray:
