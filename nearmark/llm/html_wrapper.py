@@ -4,17 +4,21 @@ Pages become token streams of tags and texts.  A stream is first folded: consecu
 become one repeated group.  Streams of one shape merge, and those of all shapes of a host are aligned one after
 the other; what only one side has becomes an optional group, texts that differ become slots and texts that never
 do are template text.  The wrapper tells for each tag path whether its text is template or slot, and how much slot
-text it holds; a page's main path is that of its own which holds most on the pages that have it.  A page's main text is what lies in its main path, or in the article (or main) element that holds the path, less
-template text and less the parts that by tag, class, id or role are menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or comments.  Only pages of which no path has slot text go by their article
-element alone.
+text it holds; a page's main path is that of its own which holds most on the pages that have it.  A page's main text
+is what lies in its main path, or in the article (or main) element that holds the path, less template text and less
+the parts that by tag, class, id or role are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles or comments (a header or footer inside an article is the article's own and stays).  Only pages of which no
+path has slot text go by their article element alone; decided_by() counts both kinds.
 
-Fitting reads every different page of a host whole, copies once: batches merge their pages by shape, then shapes
-are aligned in levels, in an order that doesn't depend on the partitions.  Hosts with one page get the rules
-without a wrapper.
+Fitting reads every different page of a host whole, copies once.  Batches merge their pages by shape; then shapes
+are aligned in rounds, FAN_IN to a group and group by group in a stream, until a host has one wrapper, in an order
+that doesn't depend on the partitions.  Hosts with one page get the rules without a wrapper.
 
 Defined results: null and empty html gives an empty text; null urls share one host; broken or cut off markup is
-read as far as it goes; rows that repeat a page_id are extracted each; an empty table gives an empty result.
+read as far as it goes, in time proportional to its length: a tag whose end no quoting leads to ends at the next '>',
+as do all tags after it; elements nested deeper than DEPTH count as part of that ancestor; of equally large paths the
+last by name is the main one; a very long page is one row like any other; rows that repeat a page_id are extracted
+each; an empty table gives an empty result; further columns play no part.
 """
 
 from __future__ import annotations
@@ -23,26 +27,28 @@ import html
 import json
 import pickle
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, lookup
 
-#: Pages of a host that sample() chooses; fitting reads all.
-FIT_PAGES = 6
 #: Pages that a template text stands on at least, and its characters at most.
 TEMPLATE_PAGES = 3
 TEMPLATE_CHARS = 200
-#: Tasks to which the shapes of one host's pages are dealt.
-BUCKETS = 64
+#: Wrappers of a host that are aligned in one group of a round, about.
+FAN_IN = 64
+#: Tag paths tell elements apart down to this depth.
+DEPTH = 60
+#: Pieces of two streams between common prefix, suffix and unique tokens are compared in full up to this product of
+#: their lengths; larger ones count as different.
+MOST_CELLS = 4_000_000
 MOST_PERIOD = 24
 #: Wrappers, and the ids of repeated pages, are broadcast up to this many bytes in all; more are
 #: joined through a shuffle.
@@ -59,15 +65,19 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure fo
 #: Elements and words in class, id or role that mark what is not main text.
 APART = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea head title menu dialog canvas object".split())
 APART_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo cookie cookies consent gdpr notice sidebar navbar nav "
-    "navigation menu breadcrumb breadcrumbs footer header comment comments reply replies respond disqus share sharing social related recommended "
-    "newsletter subscribe signup login popup modal widget toolbar masthead pagination pager complementary contentinfo search".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent notice notices sidebar navbar nav "
+    "navigation menu breadcrumb breadcrumbs footer header masthead comment comments reply replies respond disqus "
+    "newsletter subscribe signup login complementary contentinfo search".split()
 )
+#: Those of them that are an article's own inside an article.
+OWN_PARTS = frozenset("header footer".split())
 
 #: Elements that hold a page or its article whole, whatever their classes say.
 WHOLE = frozenset("html body main article".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
+_START = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+#: The rest of a tag; only after '=' does a quote begin a value.  Nothing is given back, so it takes one pass.
+_REST = re.compile(r"""((?:[^>=]|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 #: One attribute after the other, so that neither a part of a name nor a value's content is taken for one.
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _PARTS = re.compile(r"[^a-z0-9]+")
@@ -83,33 +93,46 @@ class Token:
 
 def tokens(page: str | None) -> Iterator[Token]:
     """Tags and texts in page order; comments, declarations and raw text elements are left out."""
-    page, at = page or "", 0
-    lower = None
+    page, at, quotes = page or "", 0, True
+    last, lower, size = page.rfind(">"), None, len(page)
     while True:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+        m = _START.search(page, at)
+        if m and m.start() > last and m[0] != "<!--":
+            m = None  # nothing closes any more
+        text = page[at : m.start() if m else size]
         if text:
             yield Token("text", text)
         if not m:
             return
         at = m.end()
         if m[2] is None:
+            close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+            end = page.find(close, at)
+            if end < 0 and m[0] == "<![CDATA[":
+                close, end = ">", page.find(">", at)
+            at = end + len(close) if end >= 0 else size
             continue
+        rest = _REST.match(page, at) if quotes else None
+        if not rest:
+            quotes, end = False, page.find(">", at)
+            inner, at = page[at:end], end + 1
+        else:
+            inner, at = rest[1], rest.end()
         tag = m[2].lower()
         if m[1]:
             yield Token("close", tag, tag)
             continue
-        if tag in RAW and not m[3].endswith("/"):
+        if tag in RAW and not inner.endswith("/"):
             lower = page.lower() if lower is None else lower
             end = lower.find(f"</{tag}", at)
             close = page.find(">", end) if end >= 0 else -1
-            at = close + 1 if close >= 0 else len(page)
+            at = close + 1 if close >= 0 else size
             continue
         if tag == "br":
             yield Token("break", tag, tag)
             continue
         words, hidden = set(), False
-        for a in _ATTRIBUTE.finditer(m[3]) if m[3] else ():
+        for a in _ATTRIBUTE.finditer(inner) if inner else ():
             name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
             if name in ("hidden", "aria-hidden"):
                 hidden |= name == "hidden" or value == "true"
@@ -118,7 +141,7 @@ def tokens(page: str | None) -> Iterator[Token]:
         label = tag + "".join(f".{w}" for w in sorted(words) if not w.isdigit())
         marked = tag not in WHOLE and not APART_WORDS.isdisjoint(words)
         yield Token("open", label, tag, hidden or tag in APART or marked)
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or inner.endswith("/"):
             yield Token("close", tag, tag)
 
 
@@ -134,28 +157,49 @@ class Block:
     apart: bool  # in a part that is no main text
 
 
+@dataclass(slots=True)
+class Open:
+    """An open element: its tag, the path of the block elements down to it, and whether it or one around it is ..."""
+
+    tag: str
+    path: str
+    depth: int
+    article: bool
+    apart: bool
+
+
 def events(page: str | None) -> Iterator[Block | Token]:
     """The page's blocks of text, white space and references resolved, and its tags that aren't inline, in order."""
-    stack: list[Token] = []
+    stack: list[Open] = []
+    of_tag: Counter = Counter()
     now: list[str] = []
+    root = Open("", "", 0, False, False)
 
     def flush() -> Iterator[Block]:
         if now and (text := clean("".join(now))):
-            outer = [t for t in stack if t.tag not in INLINE]
-            article = any(t.tag in ("article", "main") for t in stack)
-            yield Block(text, "/".join(t.name for t in outer), article, any(t.apart for t in stack))
+            top = stack[-1] if stack else root
+            yield Block(text, top.path, top.article, top.apart)
         now.clear()
 
-    def pop_from(k: int) -> Iterator[Token]:
-        closed = [Token("close", t.tag, t.tag) for t in reversed(stack[k:]) if t.tag not in INLINE]
-        del stack[k:]
-        yield from closed
+    def push(t: Token) -> None:
+        top = stack[-1] if stack else root
+        apart = t.apart and not (top.article and t.tag in OWN_PARTS and t.name == t.tag)
+        path, depth = top.path, top.depth
+        if t.tag not in INLINE:
+            depth += 1
+            path = path if depth > DEPTH else f"{path}/{t.name}" if path else t.name
+        stack.append(Open(t.tag, path, depth, top.article or t.tag in ("article", "main"), top.apart or apart))
+        of_tag[t.tag] += 1
 
     def pop_to(tag: str) -> Iterator[Token]:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag == tag:
-                yield from pop_from(k)
-                return
+        if of_tag[tag]:
+            while True:
+                t = stack.pop()
+                of_tag[t.tag] -= 1
+                if t.tag not in INLINE:
+                    yield Token("close", t.tag, t.tag)
+                if t.tag == tag:
+                    return
 
     for t in tokens(page):
         if t.kind == "text":
@@ -165,11 +209,11 @@ def events(page: str | None) -> Iterator[Block | Token]:
         elif t.kind == "open":
             if t.tag not in INLINE or t.apart:
                 yield from flush()
-            if t.tag in CLOSES_P and any(s.tag == "p" for s in stack):
+            if t.tag in CLOSES_P and of_tag["p"]:
                 yield from pop_to("p")
             elif t.tag in CLOSED_BY and stack and stack[-1].tag in CLOSED_BY[t.tag]:
-                yield from pop_from(len(stack) - 1)
-            stack.append(t)
+                yield from pop_to(stack[-1].tag)
+            push(t)
             if t.tag not in INLINE:
                 yield t
         else:
@@ -218,8 +262,9 @@ def fold(nodes: list[Node]) -> list[Node]:
         shapes, out, i = [n.shape for n in nodes], [], 0
         while i < len(nodes):
             j = i + period
-            while j + period <= len(nodes) and shapes[j : j + period] == shapes[i : i + period]:
-                j += period
+            if j < len(nodes) and shapes[j] == shapes[i]:
+                while j + period <= len(nodes) and shapes[j : j + period] == shapes[i : i + period]:
+                    j += period
             if j > i + period and (period > 1 or nodes[i].kind != "repeat"):
                 body = nodes[i : i + period]
                 for k in range(i + period, j, period):
@@ -257,7 +302,7 @@ def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
         if nodes:
             out.append(Node("optional", "", seen=1, inner=nodes))
 
-    for op, i1, i2, j1, j2 in SequenceMatcher(None, [n.shape for n in a], [n.shape for n in b], autojunk=False).get_opcodes():
+    for op, i1, i2, j1, j2 in opcodes([n.shape for n in a], [n.shape for n in b]):
         if op == "equal":
             for x, y in zip(a[i1:i2], b[j1:j2], strict=True):
                 both = merge(x, y)
@@ -274,6 +319,52 @@ def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
     return out
 
 
+def opcodes(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """Pieces of a and b that are equal or not, in order: ('equal' or 'replace', begin and end in a, and in b).
+
+    Common beginnings and ends are equal; between, tokens that either side has once and that come in the same order
+    divide the streams where the rest is too long to compare in full."""
+    out: list[tuple[str, int, int, int, int]] = []
+
+    def add(op: str, i1: int, i2: int, j1: int, j2: int) -> None:
+        if i1 < i2 or j1 < j2:
+            if out and out[-1][0] == op:
+                i1, j1 = out[-1][1], out.pop()[3]
+            out.append((op, i1, i2, j1, j2))
+
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i1, i2, j1, j2 = todo.pop()
+        i, j = i1, j1
+        while i < i2 and j < j2 and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        add("equal", i1, i, j1, j)
+        k = 0
+        while i < i2 - k and j < j2 - k and a[i2 - k - 1] == b[j2 - k - 1]:
+            k += 1
+        x, y = i2 - k, j2 - k
+        if (x - i) * (y - j) <= MOST_CELLS:
+            for op, p1, p2, q1, q2 in SequenceMatcher(None, a[i:x], b[j:y], autojunk=False).get_opcodes():
+                add("equal" if op == "equal" else "replace", i + p1, i + p2, j + q1, j + q2)
+            add("equal", x, i2, y, j2)
+            continue
+        ours, theirs = Counter(a[i:x]), Counter(b[j:y])
+        at = {s: q for q, s in enumerate(b[j:y], j) if theirs[s] == 1 and ours[s] == 1}
+        anchors, reached = [], j - 1
+        for p in range(i, x):
+            q = at.get(a[p], -1)
+            if q > reached:
+                anchors.append((p, q))
+                reached = q
+        if not anchors:
+            add("replace", i, x, j, y)
+            add("equal", x, i2, y, j2)
+            continue
+        cuts = [(i, j), *anchors, (i2, j2)]
+        todo += [(p, p2, q, q2) for (p, q), (p2, q2) in zip(cuts, cuts[1:], strict=False)][::-1]
+    return out
+
+
 def infer(pages: list[str]) -> list[Node]:
     """The wrapper of pages, from first to last."""
     wrapper: list[Node] = []
@@ -341,13 +432,18 @@ def summary(wrapper: list[Node]) -> dict:
 
 def main_text(page: str | None, learned: dict | None) -> str:
     """The page's main text, blocks joined by line feeds."""
+    return decide(page, learned)[0]
+
+
+def decide(page: str | None, learned: dict | None) -> tuple[str, bool]:
+    """The page's main text, and whether its host's wrapper decided where that is."""
     found = [b for b in blocks(page) if not b.apart]
     if learned:
         found = [b for b in found if b.text not in learned["template"].get(b.path, ())]
         inside = in_main(found, learned["main"])
         if inside:
-            return "\n".join(b.text for b in inside)
-    return "\n".join(b.text for b in [b for b in found if b.article] or found)
+            return "\n".join(b.text for b in inside), True
+    return "\n".join(b.text for b in [b for b in found if b.article] or found), False
 
 
 def in_main(found: list[Block], sizes: dict[str, float]) -> list[Block]:
@@ -371,17 +467,6 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def sample(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
-    """host, at (hash of the html), page_id and rank of up to fit_pages different pages of each host.
-
-    Copies are settled before the ranking and a host's ranks are cut within each task, so neither many copies nor
-    one large host meet in one task; no html moves."""
-    ids = pages.where("html is not null").select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("at"), "page_id")
-    different = ids.groupBy("host", "at").agg(F.min("page_id").alias("page_id"))
-    order = Window.partitionBy("host").orderBy("at")
-    return different.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fit_pages)
-
-
 def different(pages: DataFrame, space: Workspace) -> DataFrame:
     """host and html of each different page of each host."""
     texts = pages.where("html is not null").select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("at"), "page_id", "html")
@@ -399,38 +484,76 @@ def different(pages: DataFrame, space: Workspace) -> DataFrame:
     return single.select("host", "at", "html").unionByName(copies.select("host", "at", "html").dropDuplicates(["host", "at"])).drop("at")
 
 
-def wrappers(space: Workspace, pages: DataFrame) -> DataFrame:
-    """host and the summary of its wrapper as JSON, for hosts of two different pages or more.
+PARTS = "host string, key long, part binary"
 
-    Each batch merges its pages of one shape; shapes are dealt to BUCKETS tasks a host, whose wrappers are joined."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: dict[str, list] = {}
-            for name, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.setdefault(name, []).append((1, fold(page_nodes(page.as_py()))))
-            rows = [(name, zlib.crc32(shape.encode("utf-8", "surrogatepass")) % BUCKETS, pickle.dumps(part)) for name, parts in held.items() for shape, part in by_shape(parts).items()]
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=False)] if rows else None
-            if columns:
-                yield pa.RecordBatch.from_arrays(columns, ["host", "bucket", "part"])
+def page_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, key (of the shape), part (pages and nodes) for each host and shape of a batch."""
+    for batch in batches:
+        held: dict[str, list] = {}
+        for name, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held.setdefault(name, []).append((1, fold(page_nodes(page.as_py()))))
+        rows = [(name, xxhash.xxh3_64_intdigest(shape.encode("utf-8", "surrogatepass")) >> 1, part) for name, parts in held.items() for shape, part in by_shape(parts).items()]
+        yield part_batch(rows)
+
+
+def part_batch(rows: list[tuple[str, int, tuple[int, list[Node]]]]) -> pa.RecordBatch:
+    columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([pickle.dumps(r[2]) for r in rows], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["host", "key", "part"])
+
+
+def join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, group, part in order of (host, group, key) to one row a group: parts of one key merge if they are of one
+    shape, the others are aligned, one at a time, so memory holds one wrapper."""
+    now, key, same, whole = None, None, None, None
 
-    def bucket(group: pd.DataFrame) -> pd.DataFrame:
-        shapes = by_shape(map(pickle.loads, group["part"]))
-        whole = joined(shapes[s] for s in sorted(shapes))
-        return pd.DataFrame([(group["host"].iloc[0], group["bucket"].iloc[0], pickle.dumps(whole))], columns=["host", "bucket", "part"])
+    def closed() -> tuple[int, list[Node]] | None:
+        return joined(x for x in (whole, same) if x)
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        n, wrapper = joined(map(pickle.loads, group.sort_values("bucket")["part"]))
-        rows = [(group["host"].iloc[0], json.dumps(summary(wrapper)))] if n > 1 else []
-        return pd.DataFrame(rows, columns=["host", "learned"])
+    for batch in batches:
+        out = []
+        for name, group, k, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n, nodes = pickle.loads(raw)
+            if (name, group) != now:
+                if now:
+                    out.append((*now, closed()))
+                now, key, same, whole = (name, group), k, (n, nodes), None
+            elif k == key and [x.shape for x in nodes] == [x.shape for x in same[1]]:
+                same = (same[0] + n, [merge(x, y) for x, y in zip(same[1], nodes, strict=True)])
+            else:
+                whole, key, same = closed(), k, (n, nodes)
+        yield part_batch(out)
+    if now:
+        yield part_batch([(*now, closed())])
+
+
+def wrappers(space: Workspace, pages: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """host and the summary of its wrapper as JSON, for hosts of two different pages or more."""
+    now, k = space.keep(different(pages, space).mapInArrow(page_parts, PARTS), "parts-0"), 0
+    while True:
+        # Groups follow from a host's different shapes alone, not from how rows fell into batches.
+        per = space.keep(now.groupBy("host").agg(F.countDistinct("key").alias("n"), F.count("*").alias("rows")).where("rows > 1"), f"per-{k}")
+        if per.isEmpty():
+            break
+        total = per.agg(F.sum("rows")).first()[0]
+        several = lookup(now, per.select("host", F.ceil(F.col("n") / fan_in).alias("groups"), "rows"), ["host"], "rows", total, "left")
+        dealt = several.select("host", F.pmod(F.xxhash64("key"), F.coalesce("groups", F.lit(1))).alias("group"), "key", "part")
+        dealt = dealt.repartition("host", "group").sortWithinPartitions("host", "group", "key")
+        k += 1
+        now = space.keep(dealt.mapInArrow(join_groups, PARTS), f"parts-{k}")
+        space.drop(f"parts-{k - 1}")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(name, *pickle.loads(raw.as_py())) for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            rows = [(name, json.dumps(summary(nodes))) for name, n, nodes in found if n > 1]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["host", "learned"])
 
-    form = "host string, bucket int, part binary"
-    parts = different(pages, space).mapInArrow(partial, form)
-    return parts.groupBy("host", "bucket").applyInPandas(bucket, form).groupBy("host").applyInPandas(fit, "host string, learned string")
+    return now.select("host", "part").mapInArrow(fit, "host string, learned string")
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages."""
+    """page_id, url, text, n_chars, by_wrapper (whether the host's wrapper decided) for each row of pages."""
     pages = pages.select("page_id", "url", "html")
     space = Workspace(spark, "wrappers")
     learned = space.keep(wrappers(space, pages), "learned")
@@ -439,7 +562,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict[str, dict] = {}
         for batch in batches:
-            texts = []
+            found = []
             for page, raw in zip(batch.column(2), batch.column(3), strict=True):
                 raw = raw.as_py()
                 if raw is not None and raw not in parsed:
@@ -447,10 +570,21 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
                         parsed.clear()
                     parsed[raw] = json.loads(raw)
                     parsed[raw]["template"] = {p: set(v) for p, v in parsed[raw]["template"].items()}
-                texts.append(main_text(page.as_py(), parsed.get(raw)))
-            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
+                found.append(decide(page.as_py(), parsed.get(raw)))
+            texts = [t for t, _ in found]
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array([w for _, w in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "by_wrapper"])
 
     placed = pages.withColumn("host", host(F.col("url")))
-    placed = placed.join(F.broadcast(learned) if size <= WRAPPER_BYTES else learned, "host", "left")
-    return placed.select(F.col("page_id").cast("long"), "url", "html", "learned").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    if size <= WRAPPER_BYTES:
+        placed = placed.join(F.broadcast(learned), "host", "left")
+    else:  # hot hosts' wrappers are few, so they are broadcast all the same, and no such host's pages meet in a task
+        per = space.keep(placed.groupBy("host").agg(F.count("*").alias("_n")), "hosts")
+        one = learned.join(per, "host")
+        placed = lookup(placed, one, ["host"], "_n", per.agg(F.sum("_n")).first()[0] or 0, "left")
+    return placed.select(F.col("page_id").cast("long"), "url", "html", "learned").mapInArrow(run, "page_id long, url string, text string, n_chars long, by_wrapper boolean")
+
+
+def decided_by(extracted: DataFrame) -> DataFrame:
+    """by_wrapper and pages: how many pages' main text a wrapper found, and how many went by their article element."""
+    return extracted.groupBy("by_wrapper").agg(F.count("*").alias("pages"))
