@@ -3,11 +3,15 @@
 Every document gets the key -ln(u) / quality, u uniform from a hash of its doc_id, so better documents come
 early more often.  A source's target in words is met by complete epochs (every document once) and then by the
 documents of smallest key until the rest is used up.  Prefix sums run in two levels: sums per source and key
-range, then in order within the single range where the target falls, so no task holds a whole source.
+range, then in order within the single range where the target falls.  Ranges are cut at quantiles of all keys, and
+evenly within, so no range holds more than a small share of all rows, whatever the qualities; no task holds a whole
+source.  Targets are worked out in one task over a row for each source.
 
 Defined results: null and blank texts have size 0 and are never taken; a null source is a source of its own,
 last in order; a null doc_id is drawn by its text; rows that repeat one another are drawn next to each other,
-each as a row of its own; an empty table gives an empty result; further columns are carried through.
+each as a row of its own, and rows alike in doc_id and text but not in source each in their own source; equal keys
+go by doc_id, then text; a very long text is one row like any other; an empty table gives an empty result; further
+columns are carried through, but columns size, source_size, target, copies and taken are replaced.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ from .common import Workspace, word_count
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
-#: Key ranges per source; the one range sorted in one task is about 1 / RANGES of a source.
-RANGES = 4096
+#: Key ranges: between QUANTILES cuts of all keys, each divided evenly in PARTS.
+QUANTILES, PARTS = 128, 512
 #: Sources up to this number are joined by broadcast; more go through a shuffle.
 FEW_SOURCES = 10_000
+OWN_COLUMNS = ["copies", "size", "source_size", "target", "taken"]
 
 
 def quality(text: Column) -> Column:
@@ -70,19 +75,32 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, ranges: int = RANGES) -> DataFrame:
-    """docs' columns with size, source_size, target, epochs, taken (words taken, repeats counted)."""
+def range_of(rows: DataFrame, quantiles: int = QUANTILES, parts: int = PARTS) -> Column:
+    """The key range of a row's key; ranges grow with the key."""
+    found = rows.agg(F.percentile_approx("key", [k / quantiles for k in range(1, quantiles)], 10_000).alias("cuts"), F.max("key").alias("last")).first()
+    if found["last"] is None:
+        return F.lit(0)
+    ends = sorted({*found["cuts"], found["last"]})
+    at = F.size(F.filter(F.array(*map(F.lit, ends)), lambda c: c < F.col("key")))
+    low = F.coalesce(F.get(F.array(*map(F.lit, ends)), at - 1), F.lit(0.0))
+    high = F.get(F.array(*map(F.lit, ends)), at)
+    within = F.floor((F.col("key") - low) / (high - low) * parts)
+    return (at * parts + F.coalesce(F.least(F.greatest(within, F.lit(0)), F.lit(parts - 1)), F.lit(0))).cast("int")
+
+
+def mix(spark: SparkSession, docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, row (a hash of the text), source, size, source_size, target, copies and taken (words, repeats counted)
+    for each row of docs; carry adds the row itself as _doc."""
     space = Workspace(spark, "mix")
     text = F.coalesce(F.col("text"), F.lit(""))
     measured = docs.select(
+        *([F.struct(*docs.columns).alias("_doc")] if carry else []),
         F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_row"), F.col("source").alias("_source"), word_count(F.col("text")).alias("size"),
         draw_key(F.col("doc_id"), text, quality(text)).alias("key"),
     )
-    # u / (1 + u) bounds the ranges for any key; ranges fall out about even for keys near 1.
-    part = F.floor(F.lit(ranges) * (1 - F.exp(-F.col("key")))).cast("int")
-    rows = space.keep(measured.withColumn("part", part), "rows")
-    parts = rows.groupBy("_source", "part").agg(F.sum("size").alias("words"))
-    parts = space.keep(parts, "parts")
+    rows = space.keep(measured, "rows")
+    rows = rows.withColumn("part", range_of(rows))
+    parts = space.keep(rows.groupBy("_source", "part").agg(F.sum("size").alias("words")), "parts")
     goals = targets(parts.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size")))
     goals = space.keep(goals.withColumnRenamed("source", "_source"), "targets")
     few = goals.count() <= FEW_SOURCES
@@ -98,22 +116,21 @@ def mix(spark: SparkSession, docs: DataFrame, ranges: int = RANGES) -> DataFrame
     goals = space.keep(goals, "goals")
     joined = rows.join(small(goals), rows["_source"].eqNullSafe(goals["_goal"])).drop("_goal")
     within = Window.partitionBy("_source").orderBy("key", "_id", "_row", "size")
-    at_edge = joined.where("part = edge").withColumn("_n", F.row_number().over(within))
-    at_edge = at_edge.withColumn("_sum", F.col("ahead") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    at_edge = joined.where("part = edge").withColumn("_sum", F.col("ahead") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     nearer = (F.col("_sum") <= F.col("rest")) | (F.col("_sum") - F.col("rest") < F.col("rest") - (F.col("_sum") - F.col("size")))
-    at_edge = at_edge.withColumn("more", nearer).drop("_n", "_sum")
+    at_edge = at_edge.withColumn("more", nearer).drop("_sum")
     other = joined.where("edge is null or part <> edge").withColumn("more", F.coalesce(F.col("part") < F.col("edge"), F.lit(False)))
     chosen = at_edge.unionByName(other).withColumn("copies", F.col("epochs") + F.col("more").cast("long"))
     return chosen.select(
-        F.col("_id").alias("doc_id"), F.col("_row").alias("row"), F.col("_source").alias("source"), "size", "source_size", "target",
+        *(["_doc"] if carry else []), F.col("_id").alias("doc_id"), F.col("_row").alias("row"), F.col("_source").alias("source"), "size", "source_size", "target",
         "copies", (F.col("size") * F.col("copies")).alias("taken"),
     )
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with copies, size, source_size, target and taken."""
-    found = mix(spark, docs).where("taken > 0").drop("source").dropDuplicates(["doc_id", "row"])
-    found = found.withColumnsRenamed({"doc_id": "_id", "row": "_row"})
-    docs = docs.drop("size", "source_size", "target", "copies", "taken")  # such columns are replaced
-    row = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (row == found["_row"])).drop("_id", "_row")
+    """The rows of docs that the mix takes, with copies, size, source_size, target and taken.
+
+    Rows are written once with their sizes and keys, so only those of the ranges where targets fall are shuffled."""
+    docs = docs.drop(*OWN_COLUMNS)
+    found = mix(spark, docs, carry=True).where("taken > 0")
+    return found.select("_doc.*", *OWN_COLUMNS)
