@@ -11,10 +11,15 @@
    have the members outside their largest one compared with every other block.
 4. Components of the links, then the smallest doc_id of each.
 
+Rows are numbered when their signatures are written, so texts are looked up by a number of their own, whatever
+repeats or is null among the ids.
+
 Defined results: null, empty and blank texts have n_shingles 0, link with nothing and are their own component;
 rows repeating a doc_id are documents of their own that share it; a null doc_id takes part, but names a
-component only where no member has a doc_id (component null, kept false); an empty table gives an empty
-result; further columns play no part.
+component only where no member has a doc_id (component null, kept false); a very long text is one set like any other,
+and a block by itself beyond BLOCK_BYTES; an empty table gives an empty result; further columns play no part in
+near_duplicates.  one_of_each() keeps one row of each component, of the smallest doc_id, then text hash, nulls last,
+so rows that repeat one another leave one; rows without words all stay; all columns are carried through.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .common import Workspace
 from .graph import components
@@ -37,7 +43,7 @@ WORDS = 5
 PERCENT = 80
 BLOCK_ROWS = 1000
 BLOCK_BYTES = 16_000_000
-SIGNATURE_SCHEMA = "doc_id long, n_shingles long, node binary, hi long, n_bytes long, bands array<long>"
+SIGNATURE_SCHEMA = "doc_id long, text string, n_shingles long, node binary, hi long, n_bytes long, bands array<long>"
 
 
 class MinMax:
@@ -79,7 +85,12 @@ def set_digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
+def signatures(docs: DataFrame, k: int, carry: bool = False) -> DataFrame:
+    """A row for each row of docs: its number, doc_id, text and signature; carry adds the other columns as _rest."""
+    rest = F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("_rest")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([rest] if carry else []))
+    schema = StructType([*(f for f in _parse_datatype_string(SIGNATURE_SCHEMA).fields), *slim.schema.fields[2:]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, minmax = WordHashes(), MinMax()
         for batch in batches:
@@ -93,10 +104,10 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 nodes.append(node)
                 his.append(node and int.from_bytes(node[:8], "little", signed=True))
                 bands.append(minmax.band_hashes(s) if len(s) else [])
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(his, pa.int64()), pa.array(lengths, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "hi", "n_bytes", "bands"])
+            columns = [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(his, pa.int64()), pa.array(lengths, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNATURE_SCHEMA)
+    return slim.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id())
 
 
 def linked(a: int, b: int, common: int, percent: int) -> bool:
@@ -173,8 +184,6 @@ def link_blocks(rows: DataFrame, k: int, percent: int) -> DataFrame:
                         found += links(members, probes)
                     key, members, probes, probed = now, {}, {}, False
                 name, s = node[i].as_py(), shingle_set(cache.of(text[i].as_py()), k)
-                if set_digest(s) != name:
-                    continue  # another text under a repeated doc_id
                 if probe[i].as_py():
                     probes[name], probed = s, True
                     if len(probes) >= BLOCK_ROWS:
@@ -193,9 +202,32 @@ def link_blocks(rows: DataFrame, k: int, percent: int) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     space = Workspace(spark, "near")
-    sigs = space.keep(signatures(docs, k), "signatures")
-    first = sigs.where("node is not null").groupBy("node")
-    nodes = space.keep(first.agg(F.min("doc_id").alias("rep"), F.first("hi").alias("hi"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands")), "nodes")
+    rows = space.keep(signatures(docs, k), "signatures")
+    named = classes(space, rows, k, percent)
+    out = rows.select("doc_id", "n_shingles", "node").join(named.select("node", "component"), "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without those that another row of their component stands for."""
+    space = Workspace(spark, "near")
+    rows = space.keep(signatures(docs, k, carry=True), "signatures")
+    named = classes(space, rows, k, percent)
+    slim = rows.where("node is not null").select("node", "rid", F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.xxhash64("text").alias("c"), "rid").alias("turn"))
+    # Classes first, where copies are, then components; both are sums that each task begins by itself.
+    first = slim.groupBy("node").agg(F.min("turn").alias("turn"))
+    stays = first.join(named.select("node", "root"), "node").groupBy("root").agg(F.min("turn").alias("turn")).select("turn.rid")
+    kept = rows.where("node is null").unionByName(rows.where("node is not null").join(stays, "rid", "left_semi"))
+    return kept.select("_rest.*", "text").select(docs.columns)
+
+
+def classes(space: Workspace, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, root (of its component) and component (its smallest doc_id) of each class; rows as signatures() makes them."""
+    spark = space.spark
+    first = rows.where("node is not null").groupBy("node")
+    nodes = first.agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"), F.first("hi").alias("hi"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
+    nodes = space.keep(nodes, "nodes")
     banded = nodes.select("node", "hi", "n_bytes", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("hi").alias("p"), F.max("hi").alias("q")).where("p <> q").select("band", "p")
     members = space.keep(banded.join(shared, "band").select("p", "node", "hi", "n_bytes").distinct(), "members")
@@ -205,12 +237,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = WORDS, percen
     own = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
     everywhere = F.when((F.col("hi") == F.col("p")) & (F.col("n_blocks") > 1), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(own))
     blocks = space.keep(dealt.select("p", "node", "n_blocks", own.alias("own"), F.explode(everywhere).alias("block")), "blocks")
-    reps = nodes.select("node", "rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep_id"), "text")
+    texts = rows.select("rid", "text")
 
-    def with_text(rows: DataFrame) -> DataFrame:
-        placed = rows.join(reps, "node")
-        return placed.join(texts, placed["rep"].eqNullSafe(texts["rep_id"]))
+    def with_text(placed: DataFrame) -> DataFrame:
+        return placed.join(nodes.select("node", "rid"), "node").join(texts, "rid")
 
     links = space.keep(link_blocks(with_text(blocks.withColumn("probe", F.lit(0))), k, percent), "links")
     roots = components(links, space)
@@ -223,14 +253,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = WORDS, percen
         apart = placed.join(largest, "p").where("root <> largest and block = own")
         probes = apart.select("p", "node", F.col("own"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block")).where("block <> own")
         base = placed.join(largest.select("p"), "p", "left_semi").where("block = own")
-        rows = base.select("p", "node", "block", F.lit(0).alias("probe")).unionByName(probes.select("p", "node", "block", F.lit(1).alias("probe")))
-        more = space.keep(link_blocks(with_text(rows), k, percent), "more")
+        again = base.select("p", "node", "block", F.lit(0).alias("probe")).unionByName(probes.select("p", "node", "block", F.lit(1).alias("probe")))
+        more = space.keep(link_blocks(with_text(again), k, percent), "more")
         if not more.isEmpty():
             roots = components(links.unionByName(more), space, "cc2")
     roots = space.keep(roots, "roots")
     placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = roots.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("least"))
-    named = placed.join(smallest, "root", "left").select("node", F.coalesce("least", "rep").alias("component"))
-    out = sigs.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return placed.join(smallest, "root", "left").select("node", "root", F.coalesce("least", "rep").alias("component"))
