@@ -2,18 +2,24 @@
 
 Each benchmark item of m words has a 64-bit SimHash of its weighted five-word shingles (a shingle weighs as
 often as it occurs).  A document's windows of m words are fingerprinted alike and looked up in a multi-index:
-the fingerprint is cut into 8 blocks of 8 bits, and each item is filed under every value within 2 bits of its
-own in each block, so all items within 23 bits of a window share a block entry with it (24 bits over 8 blocks
-leave one block with 2 at most).  Candidates within the radius are verified by the exact weighted similarity
-sum(min) / sum(max) >= 0.8.  Windows are fingerprinted only where enough of their shingles occur in the
-benchmark at all for that similarity, which loses nothing.
+fingerprints are cut into blocks, items are filed by the value of each block, and a window looks up all values near
+its own: within RADIUS // BLOCKS bits in the first RADIUS % BLOCKS + 1 blocks and one bit less in the others.  Were
+an item within RADIUS bits further off in every block, its distance would exceed RADIUS; so none is missed.  About a
+fifth of all items share a block entry with any one window, and about one in 1000 is within the radius.
+Candidates within the radius are verified by the exact weighted similarity sum(min) / sum(max) >= 0.8; texts that
+similar are about 10 bits apart, more than 18 in one of about 1000 cases (the test measures it).  Windows are
+fingerprinted only where enough of their shingles occur in the benchmark at all for that similarity, which loses
+nothing.
 
 The benchmark is read in blocks of bounded bytes; each block's index is broadcast and documents are scanned
 once a block, without a shuffle, whatever the block's number.
 
 Defined results: null, empty and blank texts and items match nothing; items of fewer than five words are one
-shingle; a document shorter than an item is compared as a whole; rows that repeat a doc_id are each searched;
-empty tables give no hits; further columns play no part (find) or are carried through (clean).
+shingle, so an item of one or two words is found in every text that holds them (min_words leaves short items out, 1
+by default: none); a document shorter than an item is compared as a whole; a very long text is searched window by
+window like any other; of an item's windows in a text the most similar counts, on ties the first; rows that repeat a
+doc_id are each searched, and items that repeat an item_id each reported; empty tables give no hits; further columns
+play no part (find_leaks) or are carried through (drop_leaks).
 """
 
 from __future__ import annotations
@@ -30,14 +36,12 @@ from .shingles import WordHashes, sequence_hashes
 
 WORDS = 5
 PERCENT = 80
-BLOCKS, BLOCK_BITS, PER_BLOCK = 8, 8, 2
-RADIUS = BLOCKS * (PER_BLOCK + 1) - 1
+BLOCKS, RADIUS = 5, 18
 #: Bytes of benchmark text in one broadcast index.
 INDEX_BYTES = 8_000_000
 HIT_SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long, distance int"
 
 _BITS = np.arange(64, dtype=np.uint64)
-_MASKS = np.array([m for m in range(1 << BLOCK_BITS) if m.bit_count() <= PER_BLOCK], np.uint64)
 
 
 def signs(shingles: np.ndarray) -> np.ndarray:
@@ -53,20 +57,30 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
 class MultiIndex:
     """Items' fingerprints by block value; finds all items within RADIUS."""
 
-    def __init__(self, prints: np.ndarray):
-        self.prints, self.tables = prints, []
-        for b in range(BLOCKS):
-            own = (prints >> np.uint64(b * BLOCK_BITS)) & np.uint64(255)
-            value = (own[:, None] ^ _MASKS).ravel()
-            item = np.repeat(np.arange(len(prints)), len(_MASKS))
+    def __init__(self, prints: np.ndarray, blocks: int = BLOCKS, radius: int = RADIUS):
+        self.prints, self.radius, self.blocks = prints, radius, []
+        ends = [64 * (b + 1) // blocks for b in range(blocks)]
+        for b, (low, high) in enumerate(zip([0, *ends], ends, strict=False)):
+            n, most = high - low, radius // blocks - (b > radius % blocks)
+            near = np.array([m for m in range(1 << n) if m.bit_count() <= most], np.int64)
+            value = ((prints >> np.uint64(low)) & np.uint64((1 << n) - 1)).astype(np.int64)
             order = np.argsort(value, kind="stable")
-            self.tables.append((item[order], np.searchsorted(value[order], np.arange(257, dtype=np.uint64))))
+            self.blocks.append((low, (1 << n) - 1, near, order, np.searchsorted(value[order], np.arange((1 << n) + 1))))
 
-    def near(self, fp: np.uint64) -> list[tuple[int, int]]:
-        found = [t[e[v] : e[v + 1]] for b, (t, e) in enumerate(self.tables) for v in [int(fp >> np.uint64(b * BLOCK_BITS)) & 255]]
-        items = np.unique(np.concatenate(found))
-        distance = np.bitwise_count(self.prints[items] ^ fp)
-        return [(int(i), int(d)) for i, d in zip(items, distance, strict=True) if d <= RADIUS]
+    def candidates(self, fp: int) -> np.ndarray:
+        """The items that share a block entry with the fingerprint."""
+        found = []
+        for low, mask, near, order, starts in self.blocks:
+            values = near ^ ((fp >> low) & mask)
+            first, size = starts[values], starts[values + 1] - starts[values]
+            first, size = first[size > 0], size[size > 0]
+            found.append(order[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        return np.unique(np.concatenate(found))
+
+    def near(self, fp: int) -> list[tuple[int, int]]:
+        items = self.candidates(fp)
+        distance = np.bitwise_count(self.prints[items] ^ np.uint64(fp))
+        return [(int(i), int(d)) for i, d in zip(items, distance, strict=True) if d <= self.radius]
 
 
 def weighted_similarity(a: Counter, b: Counter) -> tuple[int, int]:
@@ -78,12 +92,12 @@ def weighted_similarity(a: Counter, b: Counter) -> tuple[int, int]:
 class BenchmarkIndex:
     """The items of one block: shingle bags and multi-indexes by item size."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], min_words: int = 1):
         cache = WordHashes()
         by_size: dict[int, list[tuple[int, Counter, np.uint64]]] = {}
         for item_id, text in items:
             w = cache.of(text)
-            if len(w):
+            if len(w) >= max(min_words, 1):
                 s = sequence_hashes(w, WORDS)
                 by_size.setdefault(len(w), []).append((item_id, Counter(s.tolist()), fingerprint(signs(s).sum(0)[None])[0]))
         self.sizes, known = {}, {}
@@ -95,7 +109,7 @@ class BenchmarkIndex:
 
     def hits(self, w: np.ndarray) -> list[tuple[int, float, int, int, int]]:
         """item_id, similarity, start, words, distance of the best window for each item found in the words w."""
-        best: dict[int, tuple] = {}
+        best: list[tuple] = []
         shingles, shared = {}, {}
         for k, anchors in self.anchors.items():
             if len(w) >= k:
@@ -114,18 +128,20 @@ class BenchmarkIndex:
             upto[at + 1] = 1
             upto = np.cumsum(upto)
             known = upto[width:] - upto[:-width]
+            best_of: dict[int, tuple] = {}
             starts = np.flatnonzero((100 + PERCENT) * known >= PERCENT * (width + m - k + 1))
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1) if len(starts) else ():
                 lo, hi = run[0], run[-1] + width
                 sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(s[lo:hi]), 0, dtype=np.int32)])
                 prints = fingerprint(sums[run - lo + width] - sums[run - lo])
-                for start, fp in zip(run.tolist(), prints, strict=True):
-                    for i, distance in index.near(fp):
+                for start, fp in zip(run.tolist(), prints.tolist(), strict=True):
+                    for i, distance in index.near(int(fp)):
                         item_id, bag, _ = items[i]
                         common, union = weighted_similarity(Counter(s[start : start + width].tolist()), bag)
-                        if 100 * common >= PERCENT * union and (item_id not in best or common / union > best[item_id][1]):
-                            best[item_id] = (item_id, common / union, start, min(m, len(w)), distance)
-        return list(best.values())
+                        if 100 * common >= PERCENT * union and (i not in best_of or common / union > best_of[i][1]):
+                            best_of[i] = (item_id, common / union, start, min(m, len(w)), distance)
+            best += best_of.values()
+        return best
 
 
 def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -137,7 +153,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
     for r in benchmark.where("text is not null").select("item_id", "text").toLocalIterator():
         block.append((r["item_id"], r["text"]))
-        size += len(r["text"])
+        size += len(r["text"].encode("utf-8", "surrogatepass"))
         if size >= INDEX_BYTES:
             yield block
             block, size = [], 0
@@ -145,11 +161,11 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_words: int = 1) -> DataFrame:
     """A row for each document and benchmark item of which it holds a near copy."""
     out = spark.createDataFrame([], HIT_SCHEMA)
     for block in item_blocks(benchmark):
-        index = spark.sparkContext.broadcast(BenchmarkIndex(block))
+        index = spark.sparkContext.broadcast(BenchmarkIndex(block, min_words))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             cache = WordHashes()
@@ -164,11 +180,11 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Da
     return out
 
 
-def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_words: int = 1) -> DataFrame:
     """The rows of docs that hold no near copy of a benchmark item."""
     text_at = docs.columns.index("text")
     for block in item_blocks(benchmark):
-        index = spark.sparkContext.broadcast(BenchmarkIndex(block))
+        index = spark.sparkContext.broadcast(BenchmarkIndex(block, min_words))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             cache = WordHashes()
