@@ -246,17 +246,12 @@ def test_html(spark):
     assert html_wrapper.extract(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_html_sample(spark, monkeypatch):
-    """Copies of a page take one place in the sample, and a shuffled lookup gives what a broadcast one does."""
+def test_html_lookup(spark, monkeypatch):
+    """Copies change nothing, and a shuffled lookup gives what a broadcast one does."""
     rows = table(spark, "pages").select("page_id", "url", "html").where("html is not null").orderBy("page_id").limit(30).collect()
-    pages = spark.createDataFrame(rows)
     many = spark.createDataFrame(rows + rows[:1] * 40)
-    host = html_wrapper.host(F.col("url")).alias("host")
-    expected = {r["host"]: min(r["n"], 6) for r in pages.select(host, "html").distinct().groupBy("host").agg(F.count("*").alias("n")).collect()}
-    chosen = html_wrapper.sample(many).collect()
-    assert Counter(r["host"] for r in chosen) == expected and len({(r["host"], r["at"]) for r in chosen}) == len(chosen)
     got = sorted(map(repr, html_wrapper.extract(spark, many).collect()))
-    assert len(got) == 70
+    assert len(got) == 70 and set(got) == set(map(repr, html_wrapper.extract(spark, spark.createDataFrame(rows)).collect()))
     monkeypatch.setattr(html_wrapper, "WRAPPER_BYTES", 0)
     assert sorted(map(repr, html_wrapper.extract(spark, many).collect())) == got
 
