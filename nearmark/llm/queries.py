@@ -56,17 +56,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_mixing, op3_line_crf, op4_token_counts, op5_line_dedup, op6_minhash,
-        op7_html_wrapper, op8_secret_scan, op9_substring_dedup, op10_quality_rules, pipeline,
+        op7_html_wrapper, op8_secret_scan, op9_substring_dedup, op10_quality_rules,
     )
 }
 
