@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from .functions import keys
 from .functions.features import parse_payload, vectorize, vectorize_fixed
 from .operators import ann, evaluate, knn, predicates, shortcuts, stats
 from .plans.score import score, score_bodies
-from .sources import fixtures
+from .plans.sweep import sweep
+from .sources import fixtures, payloads
 from .storage import written
 
 QUERIES: dict = {}
@@ -37,7 +40,7 @@ def _vectorize(spark, d):
     return fixtures.vectors(spark, d)
 
 
-@register("json_roundtrip", o.VEC + f" SELECT event_id, false AS parse_error, {o.DS} FROM v")
+@register("json_roundtrip", o.VEC + f" SELECT event_id, false AS parse_error, {o.DS} FROM v0")
 def _json_roundtrip(spark, d):
     """Payloads written as JSON, parsed again and vectorized."""
     bodies = fixtures.transactions(spark, d).select("event_id", F.to_json("p", {"ignoreNullFields": "false"}).alias("body"))
@@ -45,15 +48,37 @@ def _json_roundtrip(spark, d):
 
 
 
-_FIXED = (
-    "CAST(least(greatest(CAST(floor((CAST(floor(CAST(amount AS DECIMAL(24,9)) * 100 + 0.5) AS BIGINT) + 50) / 100.0) AS BIGINT), 0), 10000) AS INTEGER) AS d0, "
-    "CAST(least((((event_id * 7) % 12) + 1) * 10000 + 6, 999999999) // 12 AS INTEGER) AS d1, least(((us // 3600000000) % 24) * 10000 + 11, 999999999) // 23 AS d3"
-)
+def _cents(x: str, k: int = 100) -> str:
+    return f"CAST(floor(CAST({x} AS DECIMAL(24,9)) * {k} + 0.5) AS BIGINT)"
+
+
+def _bound(x: str) -> str:
+    return f"CAST(least(greatest({x}, 0), 10000) AS INTEGER)"
+
 
+_FIXED = {
+    "d0": _bound(f"({_cents('amount')} + 50) // 100"), "d1": _bound("(((event_id * 7) % 12 + 1) * 10000 + 6) // 12"),
+    "d2": f"CASE WHEN {_cents('avg_amount')} <= 0 THEN 10000 ELSE {_bound(f'({_cents('amount')} * 1000 + {_cents('avg_amount')} // 2) // greatest({_cents('avg_amount')}, 1)')} END",
+    "d3": _bound("((us // 3600000000 % 24) * 10000 + 11) // 23"), "d4": _bound("((us // 86400000000 + 3) % 7 * 10000 + 3) // 6"),
+    "d5": f"CASE WHEN last_us IS NULL THEN -10000 ELSE {_bound('(greatest(us // 60000000 - last_us // 60000000, 0) * 10000 + 720) // 1440')} END",
+    "d6": f"CASE WHEN last_us IS NULL THEN -10000 ELSE {_bound('abs(k - last_k) * 10 * 10')} END", "d7": _bound("k * 10 * 10"), "d8": _bound("tx24 * 500"),
+    "d13": _bound(f"({_cents('seller_avg')} + 50) // 100"),
+}
 
-@register("fixed_point_vectorize", o.VEC + f", x AS (SELECT event_id, {_FIXED} FROM t) SELECT event_id, d0, d1, CAST(d3 AS INTEGER) AS d3 FROM x")
+
+@register("fixed_point_vectorize", o.VEC + ", x AS (SELECT event_id, " + ", ".join(f"{x} AS {d}" for d, x in _FIXED.items()) + " FROM t) SELECT x.*, v0.d9, v0.d10, v0.d11, v0.d12 FROM x JOIN v0 USING (event_id)")
 def _fixed(spark, d):
-    return vectorize_fixed(fixtures.transactions(spark, d)).select("event_id", "d0", "d1", "d3")
+    return vectorize_fixed(fixtures.transactions(spark, d)).select("event_id", *DIMS)
+
+
+@register("payload_variants", o.VEC + f" SELECT event_id, variant, false AS parse_error, {o.DS} FROM v0, (SELECT unnest(['reordered', 'spaced', 'padded', 'legacy']) AS variant)")
+def _payload_variants(spark, d):
+    """Payloads with reordered keys, white space, unknown keys and padding parse to the same features, as does the
+    search for quoted keys."""
+    t = fixtures.transactions(spark, d)
+    parsed = [vectorize(parse_payload(payloads.variant(t, name))).select("event_id", F.lit(name).alias("variant"), "parse_error", *DIMS) for name in ("reordered", "spaced", "padded")]
+    legacy = vectorize(payloads.search_keys(payloads.variant(t, "spaced"))).select("event_id", F.lit("legacy").alias("variant"), "parse_error", *DIMS)
+    return reduce(DataFrame.unionByName, [*parsed, legacy])
 
 
 def _key_query(name: str, column: str, expression: str, make) -> None:
@@ -74,7 +99,7 @@ def _refs(spark, d):
     from .functions.features import quantize_reference
     from .sources.references import with_keys
 
-    v = fixtures.vectors(spark, d).where("event_id % 50 <> 0")
+    v = fixtures.vectors(spark, d)
     raw = v.select(F.col("event_id").alias("ordinal"), "label", F.array(*(F.col(x) / 10000.0 for x in DIMS)).alias("vector"))
     quantized = written(spark, f"quantized {d}", lambda: quantize_reference(raw).drop("vector"))
     return with_keys(quantized).select("ref_id", "label", *DIMS, "bucket_key", "kd_key", "is_risky")
@@ -158,89 +183,118 @@ def _centroid_order(spark, d):
 
 @register("knn_flat_top5", o.KNN_SQL)
 def _flat(spark, d):
-    return knn.flat(*both(spark, d))
+    return knn.flat(*both(spark, d), own="ordinal")
 
 
 @register("knn_two_pass", o.KNN_SQL)
 def _two_pass(spark, d):
-    return knn.two_pass(*both(spark, d))
+    return knn.two_pass(*both(spark, d), own="ordinal")
 
 
 @register("knn_kd", o.KNN_SQL)
 def _kd(spark, d):
-    q, r = both(spark, d)
-    return knn.kd(q, r, stats.partition_boxes(r))
+    return knn.kd(*both(spark, d), own="ordinal")
 
 
-_LB = " + ".join(f"pow(greatest(bx.lo{i} - a.d{i}, 0, a.d{i} - bx.hi{i}), 2)" for i in range(DIM))
+_LB = o.LOWER
 _BOXES = ", bx AS (SELECT kd_key, " + ", ".join(f"min(d{i}) AS lo{i}, max(d{i}) AS hi{i}" for i in range(DIM)) + " FROM r GROUP BY kd_key)"
 _CAPPED = (
     o.KEYED + _BOXES + o.near("own", where="r.kd_key = a.kd_key")
     + f", ub AS (SELECT id, max(dist) FILTER (WHERE rank = 5) AS ub FROM own GROUP BY id), ca AS (SELECT * FROM (SELECT a.id, bx.kd_key, row_number() OVER (PARTITION BY a.id ORDER BY {_LB}, bx.kd_key) AS turn FROM qs a LEFT JOIN ub ON ub.id = a.id, bx WHERE bx.kd_key <> a.kd_key AND (ub.ub IS NULL OR {_LB} <= ub.ub)) WHERE turn <= 2)"
-    + f", n AS (SELECT * FROM (SELECT a.id, row_number() OVER (PARTITION BY a.id ORDER BY {o.DIST}, r.ref_id) AS rank, r.ref_id, r.label, {o.DIST} AS dist FROM qs a, r WHERE r.kd_key = a.kd_key OR EXISTS (SELECT 1 FROM ca WHERE ca.id = a.id AND ca.kd_key = r.kd_key)) WHERE rank <= 5)"
+    + f", n AS (SELECT * FROM (SELECT a.id, row_number() OVER (PARTITION BY a.id ORDER BY {o.DIST}, r.ref_id) AS rank, r.ref_id, r.label, {o.DIST} AS dist FROM qs a, r WHERE a.id <> r.event_id AND (r.kd_key = a.kd_key OR EXISTS (SELECT 1 FROM ca WHERE ca.id = a.id AND ca.kd_key = r.kd_key))) WHERE rank <= 5)"
 )
 
 
 @register("knn_kd_capped", _CAPPED + " SELECT id, rank, ref_id, label, dist FROM n")
 def _kd_capped(spark, d):
-    q, r = both(spark, d)
-    return knn.kd(q, r, stats.partition_boxes(r), max_partitions=3)
+    return knn.kd(*both(spark, d), max_partitions=3, own="ordinal")
 
 
-@register("kd_counters")
+@register("kd_counters", o.KEYED + o.COUNTED + " SELECT id, searched, scanned FROM sv")
 def _kd_counters(spark, d):
-    """Partitions worth a visit and pairs looked at, for each query."""
+    """Partitions that each query has to search, its own included, and the references in them."""
+    return knn.count_frauds(*both(spark, d), own="ordinal").select("id", "searched", "scanned")
+
+
+def _bound_sql(d: str, at: int, n: int) -> str:
+    k = f"((b.key >> {at}) & {n - 1})"
+    low, high = f"CASE WHEN {k} = 0 THEN 0 ELSE ({k} * 10001 + {n - 1}) // {n} END", f"CASE WHEN {k} = {n - 1} THEN 10000 ELSE (({k} + 1) * 10001 - 1) // {n} END"
+    return f"CAST(greatest({low} - a.{d}, 0, a.{d} - ({high})) AS BIGINT) * greatest({low} - a.{d}, 0, a.{d} - ({high}))"
+
+
+_LAST = "CASE WHEN (b.key >> 11) & 1 = 1 THEN CAST(a.d5 + 10000 AS BIGINT) * (a.d5 + 10000) ELSE CAST(greatest(-a.d5, 0, a.d5 - 10000) AS BIGINT) * greatest(-a.d5, 0, a.d5 - 10000) END"
+
+
+@register("bucket_bounds", o.KEYED + ", b AS (SELECT DISTINCT bucket_key AS key FROM r) SELECT a.id, b.key, " + " + ".join([_bound_sql("d0", 0, 8), _bound_sql("d2", 3, 8), _bound_sql("d7", 6, 8), _bound_sql("d3", 9, 4), _LAST]) + " AS bound FROM qs a, b")
+def _bucket_bounds(spark, d):
+    """The distance below which no reference of a filled bucket (4096 at most) can lie."""
     q, r = both(spark, d)
-    boxes = stats.partition_boxes(r)
-    _, visits, _ = knn.kd_plan(q, r, boxes)
-    own = q.join(F.broadcast(boxes.select("kd_key", "n")), "kd_key", "left").select("id", F.coalesce("n", F.lit(0)).alias("own_rows"))
-    other = visits.join(F.broadcast(boxes.select("kd_key", "n")), "kd_key").groupBy("id").agg(F.count("*").alias("partitions"), F.sum("n").alias("rows"))
-    return own.join(other, "id", "left").select("id", (F.coalesce("partitions", F.lit(0)) + 1).alias("searched_partitions"), (F.col("own_rows") + F.coalesce("rows", F.lit(0))).alias("scanned"))
+    filled = r.select(F.col("bucket_key").alias("key")).distinct()
+    return q.drop("bucket_key").crossJoin(F.broadcast(filled)).select("id", "key", knn.bucket_bound(F.col("key")).alias("bound"))
 
 
-ANN = SearchParams(min_candidates=2000, early_candidates=2000, max_candidates=2100)
+#: The default limits: 30,000, 36,000 and 72,000 candidates.
+ANN = SearchParams(early_candidates=36_000)
 
 
-@register("ann_prefix", o.KEYED + o.visits(2000, 2100) + " SELECT id, rank, ref_id, label, dist FROM n")
+@register("ann_prefix", o.KEYED + o.visits(36_000, 72_000) + " SELECT id, rank, ref_id, label, dist FROM n")
 def _ann_prefix(spark, d):
-    return ann.prefix_search(*both(spark, d), ANN)
+    """Early = min: the buckets that a query visits follow from their sizes alone."""
+    return ann.search(*both(spark, d), ANN, own="ordinal").select(*knn.RESULT)
 
 
-@register("ann_general", o.KEYED + o.visits(2000, 2100) + " SELECT id, rank, ref_id, label, dist FROM n")
+@register("ann_general", o.KEYED + o.visits(36_000, 72_000) + " SELECT id, rank, ref_id, label, dist FROM n")
 def _ann_general(spark, d):
-    """The stop rule in its general form, on parameters where the prefix is known."""
-    return ann.search(*both(spark, d), ANN).select(*knn.RESULT)
+    """The same by joins, the way for references that are too many to send."""
+    return ann.search_by_joins(*both(spark, d), ANN, own="ordinal").select(*knn.RESULT)
 
 
 @register("ann_early_stop")
 def _ann_early(spark, d):
-    return ann.search(*both(spark, d), SearchParams(min_candidates=4000, early_candidates=500, max_candidates=5000))
+    return ann.search(*both(spark, d), SearchParams(), own="ordinal")
 
 
 _UNCERTAIN = ", af AS (SELECT id, CAST(sum(label) AS INTEGER) AS frauds FROM n GROUP BY id), fx AS (SELECT * FROM qs WHERE id IN (SELECT id FROM af WHERE frauds BETWEEN 1 AND 4))"
 
 
-@register("ann_exact_fallback", o.KEYED + o.visits(2000, 2100) + _UNCERTAIN + o.near("ex", "fx") + " SELECT id, rank, ref_id, label, dist FROM n WHERE id NOT IN (SELECT id FROM fx) UNION ALL SELECT id, rank, ref_id, label, dist FROM ex")
+@register("ann_exact_fallback", o.KEYED + o.visits(36_000, 72_000) + _UNCERTAIN + o.near("ex", "fx") + " SELECT id, rank, ref_id, label, dist FROM n WHERE id NOT IN (SELECT id FROM fx) UNION ALL SELECT id, rank, ref_id, label, dist FROM ex")
 def _ann_exact(spark, d):
-    return ann.with_fallback(*both(spark, d), SearchParams(min_candidates=2000, early_candidates=2000, max_candidates=2100, exact_fallback="uncertain"))
+    return ann.with_fallback(*both(spark, d), SearchParams(early_candidates=36_000, exact_fallback="uncertain"), own="ordinal").select(*knn.RESULT)
 
 
 @register("risky_knn", o.KEYED + ", rr AS (SELECT * FROM r WHERE is_risky OR (SELECT count(*) FROM r WHERE is_risky) < 5)" + o.near("n", refs="rr") + o.FRAUDS + f", fl AS (SELECT * FROM f WHERE {o.F6})" + o.near("ex", "fl")
           + " SELECT id, rank, ref_id, label, dist FROM n WHERE id NOT IN (SELECT id FROM fl) UNION ALL SELECT id, rank, ref_id, label, dist FROM ex")
 def _risky_knn(spark, d):
-    return ann.risky_search(*both(spark, d))
+    return ann.risky_search(*both(spark, d), own="ordinal")
 
 
 @register("score", o.SCORED + " SELECT id, frauds, fraud_score, approved FROM s")
 def _score(spark, d):
-    return score(*both(spark, d)).select("id", "frauds", "fraud_score", "approved")
+    return score(*both(spark, d), own="ordinal").select("id", "frauds", "fraud_score", "approved")
+
 
+#: Bodies of these ids are cut off, so that they don't parse.
+BROKEN = "id % 140 = 0"
 
-@register("score_bodies", o.SCORED + " SELECT id, frauds, fraud_score, approved, false AS parse_error FROM s")
+
+def _bodies(spark, d) -> DataFrame:
+    t = fixtures.transactions(spark, d).where("event_id % 20 = 0").select(F.col("event_id").alias("id"), F.to_json("p", {"ignoreNullFields": "false"}).alias("body"), "label")
+    return t.withColumn("body", F.when(F.expr(BROKEN), F.substring("body", 1, 60)).otherwise(F.col("body")))
+
+
+def _scored_bodies(spark, d) -> DataFrame:
+    rows = _bodies(spark, d)
+    found = score_bodies(rows.select("id", "body"), fixtures.references(spark, d), limit_bytes=False, own="ordinal")
+    return found.join(rows.select("id", (F.col("label") == 0).alias("expected_approved")), "id")
+
+
+_BODIES_SQL = o.SCORED + f", sb AS (SELECT id, CASE WHEN {BROKEN} THEN 0 ELSE frauds END AS frauds, CASE WHEN {BROKEN} THEN 0.0::DOUBLE ELSE fraud_score END AS fraud_score, approved OR {BROKEN} AS approved, {BROKEN} AS parse_error, expected_approved FROM s WHERE id < 1000000000)"
+
+
+@register("score_bodies", _BODIES_SQL + " SELECT id, frauds, fraud_score, approved, parse_error FROM sb")
 def _score_bodies(spark, d):
-    """From JSON bodies to decisions; a body beyond the length limit would be approved unread."""
-    bodies = fixtures.transactions(spark, d).where("event_id % 50 = 0").select(F.col("event_id").alias("id"), F.to_json("p", {"ignoreNullFields": "false"}).alias("body"))
-    return score_bodies(bodies, fixtures.references(spark, d), limit_bytes=False).select("id", "frauds", "fraud_score", "approved", "parse_error")
+    """From JSON bodies to decisions; bodies that don't parse are approved, as a body beyond the length limit would be."""
+    return _scored_bodies(spark, d).select("id", "frauds", "fraud_score", "approved", "parse_error")
 
 
 FAST = SearchParams(kd=True, profile_fast=True, dominant_fast=True, bucket_fast=True, legit_min=2, fraud_min=2, dominant_min=3, dominant_max_opposite=1, bucket_legit_min=3, bucket_fraud_min=3)
@@ -269,19 +323,19 @@ def _shortcut_bucket(spark, d):
 
 _FAST_SQL = (
     o.NEAR + o.FRAUDS + o.STATS + o.SHORT
-    + ", w AS (SELECT f.id, f.frauds AS safe, CAST(coalesce(sc.by_profile, sc.by_bucket, f.frauds) AS INTEGER) AS frauds, CASE WHEN sc.by_profile IS NOT NULL THEN 'profile' WHEN sc.by_bucket IS NOT NULL THEN 'bucket' ELSE 'kd' END AS path FROM f JOIN sc ON sc.id = f.id)"
+    + ", w AS (SELECT f.id, f.frauds AS safe, CAST(coalesce(sc.by_profile, sc.by_bucket, f.frauds) AS INTEGER) AS frauds, CASE WHEN sc.by_profile IS NOT NULL THEN 'profile_fast_path' WHEN sc.by_bucket IS NOT NULL THEN 'bucket_fast_path' ELSE 'native_kdtree' END AS path FROM f JOIN sc ON sc.id = f.id)"
 )
 
 
 @register("score_with_shortcuts", _FAST_SQL + " SELECT id, frauds, path, frauds / 5.0::DOUBLE AS fraud_score, frauds < 3 AS approved FROM w")
 def _score_fast(spark, d):
-    return score(*both(spark, d), FAST)
+    return score(*both(spark, d), FAST, own="ordinal").drop("searched", "scanned")
 
 
 @register("canary_diff", _FAST_SQL + " SELECT id, frauds AS fast_frauds, safe AS safe_frauds FROM w WHERE frauds <> safe")
 def _canary(spark, d):
     q, r = both(spark, d)
-    return evaluate.compare(score(q, r, FAST), score(q, r, FAST.without_fast_paths()))
+    return evaluate.compare(score(q, r, FAST, "ordinal"), score(q, r, FAST.without_fast_paths(), "ordinal"))
 
 
 @register("canary_sample", o.KEYED + " , p AS (SELECT id, row_number() OVER (ORDER BY id) AS position FROM qs) SELECT id FROM p WHERE position <= 10 OR position % 7 = 0")
@@ -293,7 +347,7 @@ def _canary_sample(spark, d):
 @register("fallback_flags", o.NEAR + o.FRAUDS + f" SELECT id, {o.F4} AS high_risk_online, {o.F5} AS profile_tiebreak, {o.F3} AS strong_risk, {o.F6} AS full_tiebreak, frauds BETWEEN 1 AND 4 OR {o.F3} AS needs_exact, frauds IN (0, 5) AS strong, frauds <= 1 OR frauds >= 4 AS strong_edges, is_risky FROM f")
 def _flags(spark, d):
     q, r = both(spark, d)
-    f = q.join(knn.fraud_counts(q, knn.flat(q, r)), "id")
+    f = q.join(knn.count_frauds(q, r, pruned=False, own="ordinal").select("id", "frauds"), "id")
     n, p = F.col("frauds"), SearchParams(exact_fallback="risky")
     return f.select(
         "id", predicates.high_risk_online().alias("high_risk_online"), predicates.strong_profile_tiebreak(n).alias("profile_tiebreak"), predicates.strong_fallback_risk(n).alias("strong_risk"),
@@ -305,7 +359,7 @@ def _flags(spark, d):
 def evaluated(spark, d, p: SearchParams = SearchParams(kd=True)) -> DataFrame:
     q, r = both(spark, d)
     truth = q.withColumn("expected_approved", F.col("label") == 0).drop("label")
-    return score(q, r, p).join(truth, "id")
+    return score(q, r, p, "ordinal").join(truth, "id")
 
 
 _CONFUSION = "SELECT count(*) AS total, count(*) FILTER (WHERE approved = expected_approved) AS correct, count(*) FILTER (WHERE expected_approved AND NOT approved) AS fp, count(*) FILTER (WHERE NOT expected_approved AND approved) AS fn, 0::BIGINT AS parse_errors FROM s"
@@ -326,11 +380,40 @@ def _histogram(spark, d):
     return evaluate.fraud_histogram(evaluated(spark, d))
 
 
-@register("path_stats", _FAST_SQL + " SELECT w.path, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM w) AS pct, CAST(sum(w.frauds) AS BIGINT) AS frauds, count(*) FILTER (WHERE (w.frauds < 3) <> (qs.label = 0)) AS errors FROM w JOIN qs ON qs.id = w.id GROUP BY w.path")
+@register("confusion_bodies", _BODIES_SQL + f", c AS ({_CONFUSION.replace('0::BIGINT', 'count(*) FILTER (WHERE parse_error)').replace('FROM s', 'FROM sb')}) SELECT *, fp + 3 * fn AS weighted_errors, (fp + fn + parse_errors) / CAST(total AS DOUBLE) AS failure_rate, (fp + 3 * fn) / CAST(total AS DOUBLE) AS epsilon, correct / CAST(total AS DOUBLE) AS accuracy FROM c")
+def _confusion_bodies(spark, d):
+    """With bodies that don't parse: they are approved, counted as errors of their own, and as right or wrong besides."""
+    return evaluate.confusion(_scored_bodies(spark, d))
+
+
+def _rank_sql(p: str) -> str:
+    return f"max(scanned) FILTER (WHERE pos = CAST(round_even((m - 1) * {p}::DOUBLE, 0) AS BIGINT))"
+
+
+_PATHS = (
+    _FAST_SQL + o.COUNTED
+    + ", y AS (SELECT w.path, w.frauds, (w.frauds < 3) <> (qs.label = 0) AS wrong, CASE WHEN w.path = 'native_kdtree' THEN sv.searched ELSE 0 END AS searched, CASE WHEN w.path = 'native_kdtree' THEN sv.scanned ELSE 0 END AS scanned FROM w JOIN qs ON qs.id = w.id JOIN sv ON sv.id = w.id)"
+    + ", z AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY scanned) - 1 AS pos, count(*) OVER (PARTITION BY path) AS m FROM y)"
+    + " SELECT path, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM y) AS pct, CAST(sum(frauds) AS BIGINT) AS frauds, count(*) FILTER (WHERE wrong) AS errors, avg(searched) AS avg_searched, avg(scanned) AS avg_scanned, "
+    + ", ".join(f"{_rank_sql(p)} AS {n}_scanned" for p, n in (("0.5", "p50"), ("0.95", "p95"), ("0.99", "p99"))) + " FROM z GROUP BY path"
+)
+
+
+@register("path_stats", _PATHS)
 def _path_stats(spark, d):
     return evaluate.path_stats(evaluated(spark, d, FAST))
 
 
+@register("parameter_sweep")
+def _sweep(spark, d):
+    """Two partition profiles by one, four or all partitions."""
+    def inputs(profile: int):
+        q, r = both(spark, d, profile)
+        return q.withColumn("expected_approved", F.col("label") == 0), r
+
+    return sweep(inputs, (0, 2), (1, 4, 256), "ordinal").select("profile", "max_partitions", "total", "fp", "fn", "accuracy", "score_det", "avg_searched", "avg_scanned")
+
+
 _VECTOR = "'[' || concat_ws(',', " + ", ".join(o.D) + ") || ']'"
 
 

@@ -16,9 +16,17 @@ MCC_RISK = {"5411": 0.15, "5812": 0.30, "5912": 0.20, "5944": 0.45, "7801": 0.80
 MCC_DEFAULT = 0.50
 
 
+#: Fixed texts that turn a switch on; indexes are built with settings in any letter case.
+ON = ("1", "true", "TRUE", "yes", "YES")
+
+
+def switch(text: str, any_case: bool = False) -> bool:
+    return text.lower() in ("1", "true", "yes") if any_case else text in ON
+
+
 @dataclass(frozen=True)
 class RiskyFilter:
-    """Inclusive bounds, quantized, on dims 0, 1, 2, 7, 8 and 13; dim 2 has a lower bound only."""
+    """Fixed inclusive bounds, quantized, on dims 0, 1, 2, 7, 8 and 13; dim 2 has a lower bound only."""
 
     amount: tuple[int, int] = (350, 3200)
     installments: tuple[int, int] = (2000, 6500)
@@ -34,7 +42,7 @@ PREBUILT_RISKY = RiskyFilter((400, 3000), (2200, 6200), 850, (250, 4000), (1500,
 
 @dataclass(frozen=True)
 class SearchParams:
-    """Search and shortcut parameters; clamped so that K <= early <= min <= max."""
+    """Search and shortcut parameters, clamped so that K <= early <= min <= max; the defaults are fixed values."""
 
     min_candidates: int = 36_000
     max_candidates: int = 72_000
@@ -77,11 +85,13 @@ class SearchParams:
 
     @staticmethod
     def from_settings(settings: dict[str, str]) -> SearchParams:
-        """From text settings by field name; switches read 1/true/TRUE/yes/YES as on."""
+        """From text settings by field name; profile_min_count stands for both profile minima where they are not set."""
         out = {}
+        if "profile_min_count" in settings:
+            both = settings["profile_min_count"]
+            settings = {"legit_min": both, "fraud_min": both, **settings}
         for name, f in SearchParams.__dataclass_fields__.items():
             if name in settings:
-                raw = settings[name]
                 kind = type(f.default)
-                out[name] = raw in ("1", "true", "TRUE", "yes", "YES") if kind is bool else kind(raw)
+                out[name] = switch(settings[name]) if kind is bool else kind(settings[name])
         return SearchParams(**out)

@@ -111,19 +111,21 @@ def vectorize(df: DataFrame, p: str = "p") -> DataFrame:
 
 
 def vectorize_fixed(df: DataFrame, p: str = "p") -> DataFrame:
-    """d0 to d13 in fixed-point arithmetic: cents first, then half-up integer divisions."""
+    """d0 to d13 in fixed-point arithmetic: cents first, then half-up integer divisions.
+
+    Numbers that don't fit the fixed-point form take the value in doubles, as their payload would take the other parser."""
     f = lambda name: F.col(f"{p}.{name}")
-    scaled = lambda c, k: F.round(c.cast("decimal(24,9)") * k, 0).cast("long")
+    scaled = lambda c, k: F.round(c.try_cast("decimal(24,9)") * k, 0).try_cast("long")
     div = lambda a, b: F.floor(a / b)
-    bound = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(SCALE)).cast("int")
+    bound = lambda c: F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0)), F.lit(SCALE)).cast("int"))
     cents, avg = scaled(f("transaction.amount"), 100), scaled(f("customer.avg_amount"), 100)
     base = vectorize(df, p)
     hour = timestamp_part(f("transaction.requested_at"), 12, 2)
     last = f("last_transaction").isNull()
     minutes = F.greatest(minutes_of(f("transaction.requested_at")) - minutes_of(f("last_transaction.timestamp")), F.lit(0))
     days = F.floor(minutes_of(f("transaction.requested_at")) / 1440)
-    return base.withColumns({
-        "d0": bound(F.expr("1") * div(cents + 50, 100)),
+    fixed = {
+        "d0": bound(div(cents + 50, 100)),
         "d1": bound(div(scaled(f("transaction.installments"), 1) * SCALE + 6, 12)),
         "d2": F.when(avg <= 0, SCALE).otherwise(bound(div(cents * 1000 + div(avg, 2), F.greatest(avg, F.lit(1))))),
         "d3": bound(div(hour * SCALE + 11, 23)),
@@ -133,7 +135,8 @@ def vectorize_fixed(df: DataFrame, p: str = "p") -> DataFrame:
         "d7": bound(scaled(f("terminal.km_from_home"), 10)),
         "d8": bound(scaled(f("customer.tx_count_24h"), 1) * 500),
         "d13": bound(div(scaled(f("merchant.avg_amount"), 100) + 50, 100)),
-    })
+    }
+    return base.withColumns({d: F.coalesce(c, F.col(d)) for d, c in fixed.items()})
 
 
 def quantize_reference(df: DataFrame, vector: str = "vector") -> DataFrame:

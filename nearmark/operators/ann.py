@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,70 +30,133 @@ def visits(queries: DataFrame, refs: DataFrame, p: SearchParams, order: DataFram
     return queries.select("id", "bucket_key").join(known, "bucket_key").select("id", "key", F.col("rank").alias("turn"), "ahead", "n", "start", "take")
 
 
-def candidates(queries: DataFrame, refs: DataFrame, p: SearchParams, order: DataFrame | None = None) -> DataFrame:
+def candidates(queries: DataFrame, refs: DataFrame, p: SearchParams, order: DataFrame | None = None, own: str | None = None) -> DataFrame:
     """A block of queries with the references that each may look at, and their distance."""
     v = visits(queries, refs, p, order)
-    slim = refs.select(F.col("bucket_key").alias("key"), "ref_id", "label", *DIMS)
-    q = knn.as_queries(queries).drop("q_kd_key", "q_bucket_key")
+    mine = F.col(own) if own else F.lit(None).cast("long")
+    slim = refs.select(F.col("bucket_key").alias("key"), "ref_id", "label", mine.alias("own"), *DIMS)
+    q = knn.as_queries(queries).drop("q_kd_key", "q_bucket_key").join(queries.select("id", knn.own_id(queries)), "id")
     near = slim.join(v, "key").where(F.col("ref_id") - F.col("start") < F.col("take")).join(F.broadcast(q), "id")
+    near = near.where(F.col("own").isNull() | (F.col("own") != F.col("own_id")))
     return near.select("id", "turn", "ahead", "take", "ref_id", "label", knn.distance().alias("dist"))
 
 
-def search(queries: DataFrame, refs: DataFrame, p: SearchParams, order: DataFrame | None = None) -> DataFrame:
+class Buckets:
+    """References as arrays by bucket, searched bucket after bucket with the stop rules."""
+
+    def __init__(self, refs: knn.References, p: SearchParams):
+        self.refs, self.p = refs, p
+
+    def order(self, source: int) -> np.ndarray:
+        """The filled buckets in the order in which queries of a bucket visit them."""
+        key = self.refs.keys
+        fields = [((key >> at) & mask, (source >> at) & mask) for at, mask in stats.FIELDS]
+        gaps = [abs(k - s) for k, s in fields]
+        ring = np.maximum.reduce([*gaps[:-1], 2 * gaps[-1]])
+        return np.lexsort([k for k, _ in fields[::-1]] + [ring])
+
+    def search(self, ids: np.ndarray, source: np.ndarray, q: np.ndarray, k: int = K) -> tuple[knn.Neighbours, np.ndarray]:
+        """The nearest among the candidates, ties by scan position, and the number of candidates of each query."""
+        out, scanned = knn.Neighbours.none(len(q), k), np.zeros(len(q), np.int64)
+        own = self.refs._self(ids)
+        for s in np.unique(source):
+            at, seen, layout = np.flatnonzero(source == s), 0, []
+            for b in self.order(int(s)):
+                begin, end = int(self.refs.cuts[b]), int(self.refs.cuts[b + 1])
+                take = min(end - begin, self.p.max_candidates - seen)
+                if not len(at) or take <= 0:
+                    break
+                self.refs._compare(out, at, q, own, begin, begin + take, seen)
+                layout.append((seen, begin))
+                seen += take
+                scanned[at] = seen
+                if seen >= self.p.min_candidates:
+                    break
+                if seen >= self.p.early_candidates:
+                    frauds = np.where(out.dist[at] < knn.FAR, out.label[at], 0).sum(1)
+                    strong = (frauds == 0) | (frauds == k) | (self.p.edge_fallback & ((frauds == 1) | (frauds == k - 1)))
+                    at = at[~strong]
+            if layout:  # scan positions back to references
+                mine = np.flatnonzero(source == s)
+                first, begin = np.array(layout).T
+                there = out.dist[mine] < knn.FAR
+                place = np.where(there, out.ref[mine], 0)
+                piece = np.searchsorted(first, place, side="right") - 1
+                out.ref[mine] = np.where(there, self.refs.ref[begin[piece] + place - first[piece]], out.ref[mine])
+        return out, scanned
+
+
+def search(queries: DataFrame, refs: DataFrame, p: SearchParams, order: DataFrame | None = None, own: str | None = None) -> DataFrame:
     """The top five among the candidates visited, ties by scan position; with candidates, the number scanned.
 
-    The stop at early_candidates depends on the labels met so far, so it is decided on five rows a bucket."""
-    pairs = knn.in_blocks(queries, lambda block: candidates(block, refs, p, order))
+    Few references are broadcast by bucket and queries stream by; many, or an order of another kind, go through joins."""
+    sent = None if order is not None else knn.send(refs.withColumn("kd_key", F.col("bucket_key")), own)
+    if sent is None:
+        return search_by_joins(queries, refs, p, order, own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Buckets(sent.value, p)
+        for batch in batches:
+            if batch.num_rows:
+                ids, source, q = knn.arrays(batch)
+                found, scanned = buckets.search(ids, source, q)
+                rows = knn.as_rows(batch.column(0), found)
+                candidates = pa.array(np.repeat(scanned, (found.dist < knn.FAR).sum(1)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, candidates], [*knn.RESULT, "candidates"])
+
+    return knn.dealt(queries, len(sent.value.ref), "bucket_key").mapInArrow(run, knn.ROWS_SCHEMA + ", candidates long")
+
+
+def search_by_joins(queries: DataFrame, refs: DataFrame, p: SearchParams, order: DataFrame | None = None, own: str | None = None) -> DataFrame:
+    """search() for many references; the stop at early_candidates depends on the labels met so far, so it is decided
+    on five rows a bucket."""
+    pairs = knn.in_blocks(queries, lambda block: candidates(block, refs, p, order, own))
     w = Window.partitionBy("id", "turn").orderBy("dist", "ref_id")
     best = pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= K).drop("r")
 
     def stop(group: pd.DataFrame) -> pd.DataFrame:
-        top, scanned = group.iloc[:0], 0
-        for _, rows in group.sort_values(["turn", "dist", "ref_id"]).groupby("turn", sort=True):
-            top = pd.concat([top, rows]).sort_values(["dist", "turn", "ref_id"], kind="stable").head(K)
-            scanned = int(rows["ahead"].iloc[0] + rows["take"].iloc[0])
-            frauds = int(top["label"].sum())
+        rows = group.sort_values(["turn", "dist", "ref_id"])[["dist", "turn", "ref_id", "label", "ahead", "take"]].to_numpy().tolist()
+        near, scanned = [], 0
+        for _, turn in groupby(rows, key=lambda r: r[1]):
+            turn = list(turn)
+            near, scanned = sorted([*near, *turn])[:K], turn[0][4] + turn[0][5]
+            frauds = sum(r[3] for r in near)
             strong = frauds in (0, K) or (p.edge_fallback and frauds in (1, K - 1))
             if scanned >= p.max_candidates or (scanned >= p.early_candidates and strong) or scanned >= p.min_candidates:
                 break
-        out = top[["id", "ref_id", "label", "dist"]].copy()
-        out["rank"], out["candidates"] = range(1, len(out) + 1), scanned
-        return out
+        out = [(group["id"].iloc[0], ref, label, dist, k + 1, scanned) for k, (dist, _, ref, label, _, _) in enumerate(near)]
+        return pd.DataFrame(out, columns=["id", "ref_id", "label", "dist", "rank", "candidates"])
 
     return best.groupBy("id").applyInPandas(stop, "id long, ref_id long, label int, dist long, rank int, candidates long").select(*knn.RESULT, "candidates")
 
 
-def prefix_search(queries: DataFrame, refs: DataFrame, p: SearchParams) -> DataFrame:
-    """search() where early = min: the prefix of buckets is then known beforehand, all in the JVM."""
-    pairs = knn.in_blocks(queries, lambda block: candidates(block, refs, p))
-    w = Window.partitionBy("id").orderBy("dist", "turn", "ref_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= K).select(*knn.RESULT)
-
-
-def risky_search(queries: DataFrame, refs: DataFrame) -> DataFrame:
+def risky_search(queries: DataFrame, refs: DataFrame, own: str | None = None) -> DataFrame:
     """The risky subset's top five; flagged queries are searched again over all references, as are all if the
     subset has fewer than five rows."""
     subset = refs.where("is_risky")
     if subset.limit(K).count() < K:
-        return knn.flat(queries, refs)
-    near = knn.flat(queries, subset)
+        return knn.flat(queries, refs, own=own)
+    near = written(refs.sparkSession, f"risky {uuid.uuid4().hex}", lambda: knn.flat(queries, subset, own=own))
     counts = knn.fraud_counts(queries, near).join(queries, "id")
     again = counts.where(needs_full_tiebreak(F.col("frauds"))).select(queries.columns)
-    full = knn.flat(again, refs)
+    full = knn.flat(again, refs, own=own)
     return near.join(again.select("id"), "id", "left_anti").unionByName(full)
 
 
-def with_fallback(queries: DataFrame, refs: DataFrame, p: SearchParams) -> DataFrame:
-    """search(); queries with fewer than five candidates, or that the fallback mode flags, are searched exactly."""
-    near = written(refs.sparkSession, f"near {uuid.uuid4().hex}", lambda: search(queries, refs, p))
+def with_fallback(queries: DataFrame, refs: DataFrame, p: SearchParams, own: str | None = None) -> DataFrame:
+    """search(); queries with fewer than five candidates, or that the fallback mode flags, are searched exactly.
+
+    Adds path: ann_buckets, risky_flat_fallback or full_flat_fallback.  Ids have to differ (see knn.numbered)."""
+    near = written(refs.sparkSession, f"near {uuid.uuid4().hex}", lambda: search(queries, refs, p, own=own))
     n = near.groupBy("id").agg(F.sum("label").cast("int").alias("frauds"), F.max("candidates").alias("candidates"))
     joined = queries.join(n, "id", "left").withColumns({"frauds": F.coalesce("frauds", F.lit(0)), "candidates": F.coalesce("candidates", F.lit(0))})
     few = F.col("candidates") < K
     flagged = ~few & needs_exact(F.col("frauds"), p)
     to_flat = joined.where(few | (flagged & F.lit(p.exact_fallback != "risky"))).select(queries.columns)
     to_risky = joined.where(flagged & F.lit(p.exact_fallback == "risky")).select(queries.columns)
-    exact = knn.flat(to_flat, refs)
+    none = F.lit(None).cast("long").alias("candidates")
+    exact = knn.flat(to_flat, refs, own=own).select(*knn.RESULT, F.lit("full_flat_fallback").alias("path"), none)
     if p.exact_fallback == "risky":
-        exact = exact.unionByName(risky_search(to_risky, refs))
+        exact = exact.unionByName(risky_search(to_risky, refs, own).select(*knn.RESULT, F.lit("risky_flat_fallback").alias("path"), none))
     kept = joined.where(~(few | flagged)).select("id")
-    return near.select(*knn.RESULT).join(kept, "id", "left_semi").unionByName(exact)
+    return near.select(*knn.RESULT, F.lit("ann_buckets").alias("path"), "candidates").join(kept, "id", "left_semi").unionByName(exact)

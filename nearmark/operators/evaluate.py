@@ -58,10 +58,19 @@ def fraud_histogram(scored: DataFrame) -> DataFrame:
 
 
 def path_stats(scored: DataFrame) -> DataFrame:
-    """Count, share, and averages by the path that decided, most frequent first."""
+    """Count, share, frauds, errors, and of searched partitions and scanned references the average and nearest-rank
+    percentiles by the path that decided, most frequent first."""
     total = scored.agg(F.count("*").alias("total"))
-    by = scored.groupBy("path").agg(F.count("*").alias("n"), F.sum("frauds").alias("frauds"), F.count_if(F.col("approved") != F.col("expected_approved")).alias("errors"))
-    return by.crossJoin(F.broadcast(total)).select("path", "n", (100.0 * F.col("n") / F.col("total")).alias("pct"), "frauds", "errors").orderBy(F.desc("n"), "path")
+    by = scored.groupBy("path").agg(
+        F.count("*").alias("n"), F.sum("frauds").alias("frauds"), F.count_if(F.col("approved") != F.col("expected_approved")).alias("errors"),
+        F.avg("searched").alias("avg_searched"), F.avg("scanned").alias("avg_scanned"),
+    )
+    by = by.crossJoin(F.broadcast(total)).withColumn("pct", 100.0 * F.col("n") / F.col("total"))
+    for p in (0.5, 0.95, 0.99):
+        name = f"p{round(p * 100)}"
+        ranks = nearest_rank(scored.select("path", "scanned"), "scanned", p, "path").withColumnRenamed(name, f"{name}_scanned")
+        by = by.join(F.broadcast(ranks), "path", "left")  # a row a path
+    return by.select("path", "n", "pct", "frauds", "errors", "avg_searched", "avg_scanned", "p50_scanned", "p95_scanned", "p99_scanned").orderBy(F.desc("n"), "path")
 
 
 def error_groups(scored: DataFrame) -> DataFrame:
@@ -83,9 +92,18 @@ def compare(fast: DataFrame, safe: DataFrame) -> DataFrame:
     return a.join(b, "id").where("fast_frauds <> safe_frauds")
 
 
-def write_report(scored: DataFrame, path: str) -> None:
-    """Dumps as JSON lines: parsed rows, wrong rows, path statistics and error groups."""
+def report(scored: DataFrame) -> DataFrame:
+    """One row of figures: the confusion counts with their rates and the detection score."""
+    return confusion(scored).withColumn("score_det", detection_score(F.col("weighted_errors"), F.col("failure_rate"), F.col("epsilon")))
+
+
+def write_report(scored: DataFrame, path: str, requests: DataFrame | None = None) -> None:
+    """Dumps as JSON lines: parsed rows, wrong rows (with the request, where requests has id and request), the figures,
+    path statistics and error groups."""
     parsed = scored.where(~F.coalesce("parse_error", F.lit(False))) if "parse_error" in scored.columns else scored
     wrong = scored.where(F.col("approved") != F.col("expected_approved"))
-    for name, df in (("rows", parsed), ("errors", wrong), ("path_stats", path_stats(scored)), ("error_groups", error_groups(scored))):
+    if requests is not None:
+        wrong = wrong.join(requests.select("id", "request"), "id", "left")
+    tables = [("rows", parsed), ("errors", wrong), ("figures", report(scored)), ("path_stats", path_stats(scored)), ("error_groups", error_groups(parsed))]
+    for name, df in tables:
         df.write.mode("overwrite").json(f"{path}/{name}")

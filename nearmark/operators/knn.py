@@ -1,29 +1,340 @@
 """Exact five-nearest-neighbour joins of queries with references.
 
-All plans return id, rank (1..5), ref_id, label, dist in order of (dist, ref_id).  Queries are the small side:
-they come in blocks of bounded rows, and each block is broadcast.
+All plans return id, rank (1..5), ref_id, label, dist in order of (dist, ref_id); distances are integers throughout.
+own names the column of refs that holds the id of the query made of the same record, which then isn't its own neighbour
+(a query's own_id tells it where its id is another number).
+
+References that are few (counted) are broadcast as arrays and queries stream by in Arrow batches: no query goes
+through the driver or a shuffle, and a query's answer is whole where it is made.  More references are dealt in counted
+slices, queries of a slice in counted chunks, and both meet by slice and chunk; k rows of each query and slice go on.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DIM, DIMS, K
 from ..storage import written
 
-#: Rows of one broadcast block of queries.
+#: References up to this number are broadcast, some 60 bytes each.
+FEW_REFS = 4_000_000
+#: References that about meet in one task beyond that, and queries that meet them at most, about.
+REF_SLICE, QUERY_CHUNK = 250_000, 1_000_000
+#: Pairs that a task compares, about, where queries stream by broadcast references.
+TASK_PAIRS = 200_000_000
+#: Rows of one broadcast block of queries in the plans that stay in the JVM.
 QUERY_BLOCK = 20_000
-#: References of one partition that about meet in one task when other partitions are searched.
-REF_SLICE = 250_000
+#: Queries and references of one matrix product.
+ROWS, COLUMNS = 512, 8192
 Q = [f"q{i}" for i in range(DIM)]
 RESULT = ["id", "rank", "ref_id", "label", "dist"]
+FAR = float(1 << 60)
+
+
+@dataclass
+class Neighbours:
+    """The k nearest of each of some queries so far: distances (FAR where there is none), ref_ids and labels."""
+
+    dist: np.ndarray
+    ref: np.ndarray
+    label: np.ndarray
+
+    @staticmethod
+    def none(n: int, k: int) -> Neighbours:
+        return Neighbours(np.full((n, k), FAR), np.full((n, k), np.iinfo(np.int64).max), np.zeros((n, k), np.int32))
+
+    def add(self, at: np.ndarray, row: np.ndarray, dist: np.ndarray, ref: np.ndarray, label: np.ndarray) -> None:
+        """Pairs for the queries numbered at; row counts within at."""
+        n, k = len(at), self.dist.shape[1]
+        rows = np.concatenate([np.repeat(np.arange(n), k), row])
+        d, r, y = (np.concatenate([a[at].ravel(), b]) for a, b in ((self.dist, dist), (self.ref, ref), (self.label, label)))
+        order = np.lexsort((r, d, rows))
+        begins = np.searchsorted(rows[order], np.arange(n))
+        order = order[begins[:, None] + np.arange(k)]
+        self.dist[at], self.ref[at], self.label[at] = d[order], r[order], y[order]
+
+
+class References:
+    """References as arrays in order of (partition, ref_id), with the boxes of their partitions."""
+
+    def __init__(self, ref: np.ndarray, label: np.ndarray, vectors: np.ndarray, key: np.ndarray, own: np.ndarray | None):
+        order = np.lexsort((ref, key))
+        self.ref, self.label, self.vectors = ref[order], label[order], vectors[order]
+        self.keys, starts = np.unique(key[order], return_index=True)
+        self.cuts = np.append(starts, len(ref))
+        if len(ref):
+            self.low = np.minimum.reduceat(self.vectors, starts).astype(np.int64)
+            self.high = np.maximum.reduceat(self.vectors, starts).astype(np.int64)
+        self.own = None
+        if own is not None:
+            self.own_order = np.argsort(own[order], kind="stable")
+            self.own = own[order][self.own_order]
+
+    @staticmethod
+    def of(table: pa.Table | pa.RecordBatch) -> References:
+        c = {n: np.asarray(table.column(n)) for n in table.schema.names}
+        vectors = np.stack([c[d] for d in DIMS], 1).astype(np.int16) if len(c["ref_id"]) else np.zeros((0, DIM), np.int16)
+        return References(c["ref_id"].astype(np.int64), c["label"].astype(np.int32), vectors, c["kd_key"].astype(np.int64), c["own"].astype(np.int64) if "own" in c else None)
+
+    def _self(self, ids: np.ndarray) -> np.ndarray:
+        """Where each query's own record lies, or -1."""
+        if self.own is None or not len(self.own):
+            return np.full(len(ids), -1)
+        at = np.minimum(np.searchsorted(self.own, ids), len(self.own) - 1)
+        return np.where(self.own[at] == ids, self.own_order[at], -1)
+
+    def _compare(self, found: Neighbours, at: np.ndarray, q: np.ndarray, own: np.ndarray, begin: int, end: int, place: int | None = None) -> None:
+        """The queries numbered at against the references from begin to end; with place, found gets positions from
+        there on in the place of ref_ids."""
+        k = found.dist.shape[1]
+        for a in range(0, len(at), ROWS):
+            some = at[a : a + ROWS]
+            x = q[some].astype(np.float64)
+            norm = (x * x).sum(1)[:, None]
+            for low in range(begin, end, COLUMNS):
+                high = min(low + COLUMNS, end)
+                r = self.vectors[low:high].astype(np.float64)
+                # Whole numbers below 2**53 throughout, so these are exact.
+                d = norm + (r * r).sum(1)[None] - 2 * (x @ r.T)
+                mine = np.flatnonzero((own[some] >= low) & (own[some] < high))
+                d[mine, own[some][mine] - low] = FAR
+                cut = found.dist[some, -1]
+                if high - low > k and (cut == FAR).any():
+                    cut = np.minimum(cut, np.partition(d, k - 1, 1)[:, k - 1])
+                row, col = np.nonzero((d <= cut[:, None]) & (d < FAR))
+                if len(row):
+                    ref = self.ref[low + col] if place is None else place + low - begin + col
+                    found.add(some, row, d[row, col], ref, self.label[low + col])
+
+    def flat(self, ids: np.ndarray, q: np.ndarray, k: int = K) -> Neighbours:
+        found = Neighbours.none(len(q), k)
+        self._compare(found, np.arange(len(q)), q, self._self(ids), 0, len(self.ref))
+        return found
+
+    def pruned(self, ids: np.ndarray, q: np.ndarray, key: np.ndarray, most: int = 256, k: int = K) -> tuple[Neighbours, np.ndarray, np.ndarray]:
+        """The nearest by partitions, and of each query the partitions worth a visit and the references in them.
+
+        A query's own partition comes first; others are visited whose box is no further than the k-th there, the
+        nearest of them (then by key) where no more than most partitions may be searched in all."""
+        found, own = Neighbours.none(len(q), k), self._self(ids)
+        if not len(self.ref):
+            return found, np.ones(len(q), np.int64), np.zeros(len(q), np.int64)
+        home = np.searchsorted(self.keys, key)
+        there = (home < len(self.keys)) & (self.keys[np.minimum(home, len(self.keys) - 1)] == key)
+        for p in np.unique(home[there]):
+            self._compare(found, np.flatnonzero(there & (home == p)), q, own, self.cuts[p], self.cuts[p + 1])
+        lower = np.zeros((len(q), len(self.keys)))
+        for i in range(DIM):
+            x = q[:, i].astype(np.int64)[:, None]
+            gap = np.maximum(np.maximum(self.low[:, i] - x, x - self.high[:, i]), 0)
+            lower += gap * gap
+        visit = lower <= found.dist[:, -1][:, None]
+        visit[np.flatnonzero(there), home[there]] = False
+        if most < 256:
+            order = np.argsort(np.where(visit, lower, np.inf), 1, kind="stable")
+            turn = np.empty_like(order)
+            np.put_along_axis(turn, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
+            visit &= turn < most - 1
+        sizes = np.diff(self.cuts)
+        searched, scanned = 1 + visit.sum(1), visit @ sizes + np.where(there, sizes[np.minimum(home, len(sizes) - 1)], 0)
+        for p in np.argsort(np.where(visit, lower, 0).sum(0) / np.maximum(visit.sum(0), 1), kind="stable"):
+            at = np.flatnonzero(visit[:, p] & (lower[:, p] <= found.dist[:, -1]))
+            if len(at):
+                self._compare(found, at, q, own, self.cuts[p], self.cuts[p + 1])
+        return found, searched, scanned
+
+
+def slim(refs: DataFrame, own: str | None) -> DataFrame:
+    key = F.col("kd_key").cast("long") if "kd_key" in refs.columns else F.lit(0).cast("long")
+    mine = [F.col(own).cast("long").alias("own")] if own else []
+    return refs.select(F.col("ref_id").cast("long").alias("ref_id"), F.col("label").cast("int").alias("label"), key.alias("kd_key"), *mine, *(F.col(d).cast("int").alias(d) for d in DIMS))
+
+
+def send(refs: DataFrame, own: str | None) -> Broadcast | None:
+    """The references as a broadcast, if they are few."""
+    if refs.count() > FEW_REFS:
+        return None
+    return refs.sparkSession.sparkContext.broadcast(References.of(slim(refs, own).toArrow().combine_chunks()))
+
+
+def own_id(queries: DataFrame) -> Column:
+    return F.col("own_id" if "own_id" in queries.columns else "id").cast("long").alias("own_id")
+
+
+def dealt(queries: DataFrame, n_refs: int, key: str = "kd_key") -> DataFrame:
+    """The queries' id, own_id, key and vector over as many tasks as the pairs are worth."""
+    key = F.col(key).cast("long") if key in queries.columns else F.lit(0).cast("long")
+    rows = queries.select(F.col("id").cast("long").alias("id"), own_id(queries), key.alias("kd_key"), *(F.col(d).cast("int").alias(d) for d in DIMS))
+    tasks = max(-(-queries.count() * max(n_refs, 1) // TASK_PAIRS), 2 * queries.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(int(tasks))
+
+
+def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """own_id, key and vector of each query."""
+    ids = np.asarray(batch.column(1).fill_null(np.iinfo(np.int64).min))
+    return ids, np.asarray(batch.column(2)), np.stack([np.asarray(batch.column(i + 3)) for i in range(DIM)], 1)
+
+
+def as_rows(ids: pa.Array, found: Neighbours) -> pa.RecordBatch:
+    n, k = found.dist.shape
+    there = found.dist.ravel() < FAR
+    columns = [ids.take(pa.array(np.repeat(np.arange(n), k)[there])), *(pa.array(x[there]) for x in (np.tile(np.arange(1, k + 1, dtype=np.int32), n), found.ref.ravel(), found.label.ravel(), found.dist.ravel().astype(np.int64)))]
+    return pa.RecordBatch.from_arrays(columns, RESULT)
+
+
+ROWS_SCHEMA = "id long, rank int, ref_id long, label int, dist long"
+
+
+def search(queries: DataFrame, refs: DataFrame, pruned: bool, most: int = 256, k: int = K, own: str | None = None) -> DataFrame:
+    sent = send(refs, own)
+    if sent is None:
+        return by_slices(queries, refs, pruned, most, k, own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, key, q = arrays(batch)
+                yield as_rows(batch.column(0), sent.value.pruned(ids, q, key, most, k)[0] if pruned else sent.value.flat(ids, q, k))
+
+    return dealt(queries, len(sent.value.ref)).mapInArrow(run, ROWS_SCHEMA)
+
+
+def flat(queries: DataFrame, refs: DataFrame, k: int = K, own: str | None = None) -> DataFrame:
+    """Every reference against every query, by matrix products."""
+    return search(queries, refs, False, k=k, own=own)
+
+
+def kd(queries: DataFrame, refs: DataFrame, max_partitions: int = 256, k: int = K, own: str | None = None) -> DataFrame:
+    """The query's own partition first, then those whose box is no further than its k-th neighbour there."""
+    return search(queries, refs, True, max_partitions, k, own)
+
+
+def count_frauds(queries: DataFrame, refs: DataFrame, pruned: bool = True, most: int = 256, own: str | None = None) -> DataFrame:
+    """id, frauds (among the five nearest; missing ones count as legit), searched, scanned: a row for each row of
+    queries, whatever repeats or is null among the ids."""
+    sent = send(refs, own)
+    if sent is None:
+        n = numbered(queries)
+        counted = by_slices(n, refs, pruned, most, K, own).groupBy("id").agg(F.sum("label").cast("int").alias("frauds"))
+        none = F.lit(None).cast("long")
+        return n.join(counted, "id", "left").select(F.col("own_id").alias("id"), F.coalesce("frauds", F.lit(0)).alias("frauds"), none.alias("searched"), none.alias("scanned"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, key, q = arrays(batch)
+                if pruned:
+                    found, searched, scanned = sent.value.pruned(ids, q, key, most)
+                else:
+                    found, searched, scanned = sent.value.flat(ids, q), np.full(len(q), len(sent.value.keys)), np.full(len(q), len(sent.value.ref))
+                columns = [batch.column(0), *(pa.array(np.asarray(x, t)) for x, t in ((found.label.sum(1), np.int32), (searched, np.int64), (scanned, np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "frauds", "searched", "scanned"])
+
+    return dealt(queries, len(sent.value.ref)).mapInArrow(run, "id long, frauds int, searched long, scanned long")
+
+
+def numbered(queries: DataFrame) -> DataFrame:
+    """The queries, written, with a number as id and what id was as own_id; so nulls and repeated ids are told apart."""
+    rows = queries.withColumn("own_id", F.col("id").cast("long")).withColumn("id", F.monotonically_increasing_id())
+    return written(queries.sparkSession, f"numbered {uuid.uuid4().hex}", lambda: rows)
+
+
+def by_slices(queries: DataFrame, refs: DataFrame, pruned: bool, most: int, k: int, own: str | None) -> DataFrame:
+    """search() for many references; ids of queries have to differ here.
+
+    References are dealt by partition (or all as one) in slices of about REF_SLICE; each query goes to all slices of
+    the partitions that it searches."""
+    rows = slim(refs, own)
+    if not pruned:
+        rows = rows.withColumn("kd_key", F.lit(0).cast("long"))
+    boxes = partition_table(rows)
+    rows = rows.join(F.broadcast(boxes.select("kd_key", "slices")), "kd_key")
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("ref_id"), F.col("slices")).cast("int")).drop("slices")
+    key = F.col("kd_key").cast("long") if pruned else F.lit(0).cast("long")
+    q = queries.select(F.col("id").cast("long").alias("id"), own_id(queries), key.alias("kd_key"), *(F.col(d).cast("int").alias(d) for d in DIMS))
+    first = top(meet(rows, q, boxes, k), k)
+    if not pruned:
+        return first
+    # Written, as bounds and result both read it: k rows a query.
+    made = first
+    first = written(refs.sparkSession, f"own {uuid.uuid4().hex}", lambda: made)
+    visits = worth_a_visit(q, first, boxes, most, k)
+    second = meet(rows, visits.select("id", "own_id", "kd_key", *DIMS), boxes, k)
+    return top(first.select("id", "ref_id", "label", "dist").unionByName(second), k)
+
+
+def partition_table(rows: DataFrame) -> DataFrame:
+    """kd_key, n, slices and box of each partition: 256 rows at most, worked out once."""
+    found = rows.groupBy("kd_key").agg(F.count("*").alias("n"), *(f(d).alias(f"{name}{i}") for i, d in enumerate(DIMS) for f, name in ((F.min, "lo"), (F.max, "hi"))))
+    found = found.withColumn("slices", F.ceil(F.col("n") / REF_SLICE).cast("int"))
+    return rows.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
+def worth_a_visit(queries: DataFrame, first: DataFrame, boxes: DataFrame, most: int, k: int) -> DataFrame:
+    """The queries with the key of each other partition that they have to search."""
+    bound = first.where(F.col("rank") == k).select("id", F.col("dist").alias("bound"))
+    others = boxes.drop("n", "slices").withColumnRenamed("kd_key", "other")
+    placed = queries.withColumnsRenamed(dict(zip(DIMS, Q, strict=True))).join(bound, "id", "left").crossJoin(F.broadcast(others))
+    visits = placed.where("other <> kd_key").withColumn("lower", box_bound()).where("bound is null or lower <= bound")
+    if most < 256:
+        w = Window.partitionBy("id").orderBy("lower", "other")
+        visits = visits.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= most - 1)
+    return visits.select("id", "own_id", F.col("other").alias("kd_key"), *(F.col(q).alias(d) for d, q in zip(DIMS, Q, strict=True)))
+
+
+def meet(rows: DataFrame, queries: DataFrame, boxes: DataFrame, k: int) -> DataFrame:
+    """id, ref_id, label, dist: the k nearest of each query in each slice of its kd_key's references.
+
+    Queries of one partition are dealt in chunks, to which its slices are sent again, so that no task holds more than
+    a slice, and a partition that all queries visit is many tasks."""
+    chunks = queries.groupBy("kd_key").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("chunks"))
+    sizes = F.broadcast(boxes.select("kd_key", "slices"))  # 256 rows at most
+    sent = queries.join(sizes, "kd_key").join(F.broadcast(chunks), "kd_key")
+    sent = sent.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    held = rows.join(F.broadcast(chunks), "kd_key").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    mine = F.col("own") if "own" in rows.columns else F.lit(None).cast("long")
+    cell, with_own = ["kd_key", "slice", "chunk"], "own" in rows.columns
+    left = held.select(*cell, F.lit(0).alias("side"), F.col("ref_id").alias("id"), mine.alias("own"), "label", *DIMS)
+    right = sent.select(*cell, F.lit(1).alias("side"), "id", F.col("own_id").alias("own"), F.lit(0).alias("label"), *DIMS)
+    both = left.unionByName(right).repartition(*cell).sortWithinPartitions(*cell, "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, refs = None, [], None
+        for batch in batches:
+            c = [np.asarray(batch.column(i)) for i in range(4)]
+            change = np.any([x[1:] != x[:-1] for x in c], axis=0) if batch.num_rows > 1 else np.zeros(0, bool)
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                part, here = batch.slice(a, b - a), tuple(int(x[a]) for x in c[:3])
+                if here != now:
+                    now, parts, refs = here, [], None
+                if c[3][a] == 0:
+                    parts.append(part)
+                    continue
+                if not parts:
+                    continue
+                if refs is None:
+                    t = pa.Table.from_batches(parts).combine_chunks()
+                    own = t.column("own").fill_null(np.iinfo(np.int64).min) if with_own else None
+                    vectors = np.stack([np.asarray(t.column(d)) for d in DIMS], 1).astype(np.int16)
+                    refs = References(np.asarray(t.column("id")), np.asarray(t.column("label")), vectors, np.zeros(t.num_rows, np.int64), None if own is None else np.asarray(own))
+                q = np.stack([np.asarray(part.column(d)) for d in DIMS], 1)
+                found = refs.flat(np.asarray(part.column("own").fill_null(np.iinfo(np.int64).min + 1)), q, k)
+                out = as_rows(part.column("id"), found)
+                yield out.select(["id", "ref_id", "label", "dist"])
+
+    return both.mapInArrow(run, "id long, ref_id long, label int, dist long")
 
 
 def as_queries(queries: DataFrame) -> DataFrame:
@@ -39,17 +350,6 @@ def top(pairs: DataFrame, k: int = K) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*RESULT)
 
 
-def query_blocks(queries: DataFrame) -> Iterator[np.ndarray]:
-    block = []
-    for r in queries.select("id", *DIMS).toLocalIterator():
-        block.append(tuple(r))
-        if len(block) == QUERY_BLOCK:
-            yield np.array(block, np.int64)
-            block = []
-    if block:
-        yield np.array(block, np.int64)
-
-
 def blocks(queries: DataFrame, size: int | None = None) -> list[DataFrame]:
     """queries (ids differ) in blocks of QUERY_BLOCK rows at most by a hash of id; sizes are counted, as each is broadcast."""
     size = size or QUERY_BLOCK
@@ -69,57 +369,18 @@ def in_blocks(queries: DataFrame, f: Callable[[DataFrame], DataFrame]) -> DataFr
     return reduce(DataFrame.unionByName, map(f, blocks(queries)))
 
 
-def flat(queries: DataFrame, refs: DataFrame, k: int = K) -> DataFrame:
-    """Every reference against every query: integer distances by matrix products, a running top k in each task.
-
-    A task gives k rows a query at most, so the shuffle holds queries x tasks x k rows however many references."""
-    schema = "id long, ref_id long, label int, dist long"
-    out = None
-    for block in query_blocks(queries):
-        sent = refs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value[:, 0], sent.value[:, 1:].astype(np.float64)
-            best = None
-            for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
-                    ref, label = (np.asarray(part.column(i)).astype(np.int64) for i in (0, 1))
-                    r = np.stack([np.asarray(part.column(i + 2)) for i in range(DIM)], 1).astype(np.float64)
-                    # Below 2**53 throughout, so these are exact integers.
-                    d = ((q * q).sum(1)[:, None] + (r * r).sum(1)[None] - 2 * (q @ r.T)).astype(np.int64)
-                    best = keep(best, d, np.broadcast_to(ref, d.shape), np.broadcast_to(label, d.shape))
-            if best is not None:
-                d, ref, label = best
-                columns = [np.repeat(ids, d.shape[1]), ref.ravel(), label.ravel().astype(np.int32), d.ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "ref_id", "label", "dist"])
-
-        def keep(best, d, ref, label):
-            if d.shape[1] > k:  # ties at the k-th distance stay in play
-                cut = np.partition(d, k - 1, 1)[:, k - 1]
-                width = int((d <= cut[:, None]).sum(1).max())
-                near = np.argpartition(d, min(width, d.shape[1]) - 1, 1)[:, :width]
-                d, ref, label = (np.take_along_axis(x, near, 1) for x in (d, ref, label))
-            if best is not None:
-                d, ref, label = (np.concatenate([a, b], 1) for a, b in zip(best, (d, ref, label), strict=True))
-            order = np.lexsort((ref, d), axis=1)[:, :k]
-            return tuple(np.take_along_axis(x, order, 1) for x in (d, ref, label))
-
-        found = refs.select(F.col("ref_id").cast("long"), "label", *DIMS).mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return top(out) if out is not None else top(refs.sparkSession.createDataFrame([], schema))
-
-
-def two_pass(queries: DataFrame, refs: DataFrame, k: int = K, slots: int = 64) -> DataFrame:
+def two_pass(queries: DataFrame, refs: DataFrame, k: int = K, slots: int = 64, own: str | None = None) -> DataFrame:
     """All in the JVM: the k-th smallest of slot minima bounds the k-th distance; only pairs within it are ranked."""
-    return in_blocks(queries, lambda block: two_pass_block(block, refs, k, slots))
+    return in_blocks(queries, lambda block: two_pass_block(block, refs, k, slots, own))
 
 
-def two_pass_block(queries: DataFrame, refs: DataFrame, k: int, slots: int) -> DataFrame:
-    pairs = refs.select("ref_id", "label", *DIMS).crossJoin(F.broadcast(as_queries(queries))).select("id", "ref_id", "label", distance().alias("dist"))
+def two_pass_block(queries: DataFrame, refs: DataFrame, k: int, slots: int, own: str | None) -> DataFrame:
+    rows = refs.select("ref_id", "label", *DIMS, (F.col(own) if own else F.lit(None).cast("long")).alias("own"))
+    other = F.col("own").isNull() | (F.col("own") != F.col("id"))
+    pairs = rows.crossJoin(F.broadcast(as_queries(queries))).where(other).select("id", "ref_id", "label", distance().alias("dist"))
     least = pairs.groupBy("id", F.pmod("ref_id", F.lit(slots)).alias("slot")).agg(F.min("dist").alias("dist"))
     bound = least.groupBy("id").agg(F.sort_array(F.collect_list("dist")).alias("d")).select("id", F.get("d", F.lit(k - 1)).alias("bound"))
-    near = refs.select("ref_id", "label", *DIMS).crossJoin(F.broadcast(as_queries(queries).join(bound, "id"))).withColumn("dist", distance())
+    near = rows.crossJoin(F.broadcast(as_queries(queries).join(bound, "id"))).where(other).withColumn("dist", distance())
     return top(near.where("bound is null or dist <= bound"), k)
 
 
@@ -129,33 +390,19 @@ def box_bound() -> Column:
     return sum((gap(i) * gap(i) for i in range(DIM)), F.lit(0))
 
 
-def kd_plan(queries: DataFrame, refs: DataFrame, boxes: DataFrame, max_partitions: int = 256, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(own partition's top k, other partitions worth a visit, result) of the partition-pruned search.
+def bucket_bound(key: Column) -> Column:
+    """Squared distance from a query (d0..d13) to whatever lies in a bucket; no reference of it is nearer."""
+    from . import stats
 
-    There are 256 partitions at most, so their references are dealt in counted slices; a visit goes to every slice."""
-    q = as_queries(queries)
-    boxes = refs.sparkSession.createDataFrame(boxes.collect(), boxes.schema)  # 256 rows at most, aggregated once
-    slices = F.broadcast(boxes.select("kd_key", F.ceil(F.col("n") / REF_SLICE).cast("int").alias("slices")))
-    slim = refs.select("kd_key", "ref_id", "label", *DIMS)
-    own = lambda block: slim.join(F.broadcast(block), F.col("kd_key") == F.col("q_kd_key")).withColumn("dist", distance())
-    # Written, as bounds and result both read it: k rows a query.
-    first = written(refs.sparkSession, f"own {uuid.uuid4().hex}", lambda: top(in_blocks(q, own), k))
-    bound = first.where(F.col("rank") == k).select("id", F.col("dist").alias("bound"))
-    placed = q.join(bound, "id", "left").crossJoin(F.broadcast(boxes)).where("kd_key <> q_kd_key").withColumn("lower", box_bound())
-    visits = placed.where("bound is null or lower <= bound")
-    if max_partitions < 256:
-        w = Window.partitionBy("id").orderBy("lower", "kd_key")
-        visits = visits.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= max_partitions - 1).drop("turn")
-    visits = visits.select("id", "kd_key", "bound", "lower", *Q)
-    dealt = slim.join(slices, "kd_key").withColumn("slice", F.pmod(F.xxhash64("ref_id"), F.col("slices")).cast("int")).drop("slices")
-    sent = visits.join(slices, "kd_key").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    second = dealt.join(sent, ["kd_key", "slice"]).withColumn("dist", distance()).where("bound is null or dist <= bound")
-    both = first.select("id", "ref_id", "label", "dist").unionByName(second.select("id", "ref_id", "label", "dist"))
-    return first, visits, top(both, k)
-
-
-def kd(queries: DataFrame, refs: DataFrame, boxes: DataFrame, max_partitions: int = 256, k: int = K) -> DataFrame:
-    return kd_plan(queries, refs, boxes, max_partitions, k)[2]
+    def outside(d: str, low: Column, high: Column) -> Column:
+        gap = F.greatest(low - F.col(d), F.lit(0), F.col(d) - high).cast("long")
+        return gap * gap
+
+    total = F.lit(0).cast("long")
+    for d, at, n in (("d0", 0, 8), ("d2", 3, 8), ("d7", 6, 8), ("d3", 9, 4)):
+        total = total + outside(d, *stats.bucket_range(stats.part_of(key, at, n - 1), n))
+    first = stats.part_of(key, 11, 1) == 1
+    return total + outside("d5", F.when(first, -10_000).otherwise(0), F.when(first, -10_000).otherwise(10_000))
 
 
 def fraud_counts(queries: DataFrame, nearest: DataFrame) -> DataFrame:

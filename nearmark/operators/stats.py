@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..config import DIM, DIMS, SCALE
 
 BUCKETS = 4096
+#: Fixed: where a bucket key's fields begin and their masks, in the order in which neighbours are visited.
+FIELDS = ((0, 7), (3, 7), (6, 7), (9, 3), (11, 1))
 
 
 def bucket_histogram(refs: DataFrame) -> DataFrame:
@@ -85,8 +87,8 @@ def neighbour_order(sources: DataFrame) -> DataFrame:
     pairs = sources.select("bucket_key").distinct().crossJoin(F.broadcast(keys))
     s, k = F.col("bucket_key"), F.col("key")
     gap = lambda at, mask: F.abs(part_of(s, at, mask) - part_of(k, at, mask))
-    ring = F.greatest(gap(0, 7), gap(3, 7), gap(6, 7), gap(9, 3), 2 * gap(11, 1))
-    order = [part_of(k, at, mask) for at, mask in ((0, 7), (3, 7), (6, 7), (9, 3), (11, 1))]
+    ring = F.greatest(*(gap(at, mask) for at, mask in FIELDS[:-1]), 2 * gap(*FIELDS[-1]))
+    order = [part_of(k, at, mask) for at, mask in FIELDS]
     w = Window.partitionBy("bucket_key").orderBy("ring", *order)
     return pairs.withColumn("ring", ring).select("bucket_key", "key", "ring", (F.row_number().over(w) - 1).alias("rank"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .sources.fixtures import PLANTED, PLANTED_EACH, PLANTED_FROM, REST
+
 D = [f"d{i}" for i in range(14)]
 DS = ", ".join(D)
 
@@ -70,23 +72,44 @@ def kd(profile: int = 0) -> str:
 
 
 RISKY = "d0 BETWEEN 350 AND 3200 AND d1 BETWEEN 2000 AND 6500 AND d2 >= 750 AND d7 BETWEEN 200 AND 4300 AND d8 BETWEEN 1500 AND 6000 AND d13 BETWEEN 0 AND 450"
-VEC = "WITH RECURSIVE " + TX.strip() + " v AS (SELECT event_id, " + LABEL + ", " + ", ".join(f"{x} AS {d}" for x, d in zip(VALUES, D, strict=True)) + " FROM t)"
+VARY = {"d0": "j % 7 - 3", "d3": "j * 13 % 101", "d7": "j % 11 - 5"}
+
+
+def planted_rows() -> str:
+    def one(k: int, label: int | None, values: dict) -> str:
+        dims = ", ".join(f"CAST({ {**REST, **values}[d]} + {VARY.get(d, '0')} AS INTEGER) AS {d}" for d in D)
+        return f"SELECT {PLANTED_FROM + k * PLANTED_EACH} + j AS event_id, CAST({'j % 2' if label is None else label} AS INTEGER) AS label, {dims} FROM (SELECT range AS j FROM range({PLANTED_EACH}))"
+
+    return " UNION ALL ".join(one(k, *x) for k, x in enumerate(PLANTED))
+
+
+VEC = (
+    "WITH RECURSIVE " + TX.strip() + " v0 AS (SELECT event_id, " + LABEL + ", " + ", ".join(f"{x} AS {d}" for x, d in zip(VALUES, D, strict=True)) + " FROM t), "
+    + f"v AS (SELECT * FROM v0 UNION ALL {planted_rows()})"
+)
 KEYED = VEC + f""", k AS (SELECT *, CAST({BUCKET} AS INTEGER) AS bucket_key, CAST({FINE} AS INTEGER) AS fine_key, CAST({PROFILE} AS INTEGER) AS profile_key,
  CAST({kd()} AS INTEGER) AS kd_key, {RISKY} AS is_risky FROM v),
-r AS (SELECT row_number() OVER (ORDER BY bucket_key, event_id) - 1 AS ref_id, * FROM k WHERE event_id % 50 <> 0),
-qs AS (SELECT event_id AS id, * FROM k WHERE event_id % 50 = 0)"""
+r AS (SELECT row_number() OVER (ORDER BY bucket_key, event_id) - 1 AS ref_id, * FROM k),
+qs AS (SELECT event_id AS id, * FROM k WHERE event_id % 20 = 0)"""
 DIST = "+".join(f"CAST(a.{d} - r.{d} AS BIGINT) * (a.{d} - r.{d})" for d in D)
 
 
 def near(name: str, queries: str = "qs", refs: str = "r", where: str = "true") -> str:
     """A CTE of the five nearest references by (dist, ref_id)."""
     return f""", {name} AS (SELECT * FROM (SELECT a.id, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, r.ref_id) AS rank, r.ref_id, r.label, {DIST} AS dist
- FROM {queries} a, {refs} r WHERE {where}) WHERE rank <= 5)"""
+ FROM {queries} a, {refs} r WHERE a.id <> r.event_id AND {where}) WHERE rank <= 5)"""
 
 
 NEAR = KEYED + near("n")
 FRAUDS = ", f AS (SELECT qs.*, CAST(coalesce((SELECT sum(n.label) FROM n WHERE n.id = qs.id), 0) AS INTEGER) AS frauds FROM qs)"
-SCORED = NEAR + FRAUDS + ", s AS (SELECT *, frauds / 5.0::DOUBLE AS fraud_score, frauds < 3 AS approved, label = 0 AS expected_approved, 'kd' AS path FROM f)"
+SCORED = NEAR + FRAUDS + ", s AS (SELECT *, frauds / 5.0::DOUBLE AS fraud_score, frauds < 3 AS approved, label = 0 AS expected_approved, 'native_kdtree' AS path FROM f)"
+LOWER = " + ".join(f"pow(greatest(bx.lo{i} - a.d{i}, 0, a.d{i} - bx.hi{i}), 2)" for i in range(14))
+#: Partitions that each query has to search, and the references in them.
+COUNTED = (
+    ", bx AS (SELECT kd_key, count(*) AS n, " + ", ".join(f"min(d{i}) AS lo{i}, max(d{i}) AS hi{i}" for i in range(14)) + " FROM r GROUP BY kd_key)"
+    + near("own", where="r.kd_key = a.kd_key") + ", ub AS (SELECT id, max(dist) FILTER (WHERE rank = 5) AS ub FROM own GROUP BY id)"
+    + f", sv AS (SELECT a.id, count(*) FILTER (WHERE bx.kd_key <> a.kd_key) + 1 AS searched, CAST(sum(bx.n) AS BIGINT) AS scanned FROM qs a LEFT JOIN ub ON ub.id = a.id, bx WHERE bx.kd_key = a.kd_key OR ub.ub IS NULL OR {LOWER} <= ub.ub GROUP BY a.id)"
+)
 KNN_SQL = NEAR + " SELECT id, rank, ref_id, label, dist FROM n"
 
 
@@ -109,7 +132,7 @@ o AS (SELECT s.bucket_key, h.key, h.n, h.start, row_number() OVER (PARTITION BY
 c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY bucket_key ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM o),
 vis AS (SELECT qs.id, c.key, c.turn, c.start, least(c.n, {most} - c.ahead) AS take FROM qs JOIN c ON c.bucket_key = qs.bucket_key WHERE c.ahead < {least} AND c.ahead < {most}),
 n AS (SELECT * FROM (SELECT a.id, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, vis.turn, r.ref_id) AS rank, r.ref_id, r.label, {DIST} AS dist
- FROM qs a JOIN vis ON vis.id = a.id JOIN r ON r.bucket_key = vis.key AND r.ref_id - vis.start < vis.take) WHERE rank <= 5)"""
+ FROM qs a JOIN vis ON vis.id = a.id JOIN r ON r.bucket_key = vis.key AND r.ref_id - vis.start < vis.take AND a.id <> r.event_id) WHERE rank <= 5)"""
 
 
 def boxed(**bounds: tuple) -> str:

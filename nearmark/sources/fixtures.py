@@ -48,23 +48,54 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", p.alias("p"), (weight >= 450).cast("int").alias("label"))
 
 
+#: Planted rows, PLANTED_EACH for each: label (None: alternating) and quantized features; the others have REST.  They lie
+#: inside the bounds that few transactions meet: the risky filter, then each fallback and tie-break rule.
+PLANTED_EACH, PLANTED_FROM = 100, 1_000_000_000
+REST = dict(d0=1000, d1=5000, d2=2000, d3=5000, d4=3333, d5=100, d6=500, d7=1000, d8=3000, d9=0, d10=0, d11=0, d12=5000, d13=1000)
+PLANTED = [
+    (None, dict(d0=1000, d1=4000, d2=2000, d7=1000, d8=3000, d13=200)),
+    (0, dict(d0=500, d1=6000, d2=1000, d6=1300, d7=1000, d8=4500, d12=8500)),
+    (0, dict(d0=2800, d1=6000, d2=9500, d6=1300, d7=1000, d8=4500, d12=8500)),
+    (0, dict(d0=500, d2=1100, d7=500, d8=4500, d10=10000, d12=8000, d13=100)),
+    (0, dict(d0=2200, d2=4600, d7=800, d8=2500, d9=10000, d12=2000, d13=100)),
+    (0, dict(d0=1300, d2=3500, d7=3600, d8=2500, d9=10000, d11=10000, d12=4500, d13=100)),
+    (1, dict(d0=2800, d2=9500, d7=3700, d8=3000, d10=10000, d12=2000, d13=100)),
+    (1, dict(d0=1200, d2=4300, d5=700, d7=650, d8=2500, d12=1500, d13=270)),
+    (0, dict(d0=700, d2=1500, d7=1000, d8=3000)),
+    (1, dict(d0=700, d2=1500, d7=600, d8=2500, d9=10000, d12=1500)),
+    (0, dict(d0=500, d1=6000, d2=1000, d6=1300, d7=1000, d8=4500, d9=10000, d12=8500)),
+]
+
+
+def planted(spark: SparkSession) -> DataFrame:
+    """event_id, label, d0..d13 of the planted rows; d0, d3 and d7 vary a little."""
+    j, box = F.pmod("id", F.lit(PLANTED_EACH)), F.floor(F.col("id") / PLANTED_EACH).cast("int")
+    pick = lambda values: F.element_at(F.array(*(F.lit(v).cast("int") for v in values)), box + 1)
+    vary = {"d0": F.pmod(j, F.lit(7)) - 3, "d3": F.pmod(j * 13, F.lit(101)), "d7": F.pmod(j, F.lit(11)) - 5}
+    label = F.coalesce(pick([y for y, _ in PLANTED]), F.pmod(j, F.lit(2)).cast("int"))
+    values = [(pick([{**REST, **v}[d] for _, v in PLANTED]) + vary.get(d, F.lit(0))).cast("int").alias(d) for d in DIMS]
+    return spark.range(len(PLANTED) * PLANTED_EACH).select((F.col("id") + PLANTED_FROM).alias("event_id"), label.alias("label"), *values)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, label, d0..d13: the feature table, written once a session."""
-    return written(spark, f"vectors {sf_dir}", lambda: vectorize(transactions(spark, sf_dir)).select("event_id", "label", *DIMS))
+    """event_id, label, d0..d13: the feature table and the planted rows, written once a session."""
+    made = lambda: vectorize(transactions(spark, sf_dir)).select("event_id", "label", *DIMS).unionByName(planted(spark))
+    return written(spark, f"vectors {sf_dir}", made)
 
 
 def references(spark: SparkSession, sf_dir: str, kd_profile: int = 0) -> DataFrame:
-    """The keyed and numbered reference table, written once a session like the index it stands for."""
+    """The keyed and numbered reference table of all rows, written once a session like the index it stands for.
+
+    ordinal is the event_id, so that a query can leave out its own row."""
     def build() -> DataFrame:
-        rows = vectors(spark, sf_dir).where("event_id % 50 <> 0")
-        return with_keys(rows.withColumnRenamed("event_id", "ordinal"), kd_profile)
+        return with_keys(vectors(spark, sf_dir).withColumnRenamed("event_id", "ordinal"), kd_profile)
 
     return written(spark, f"references {kd_profile} {sf_dir}", build)
 
 
 def queries(spark: SparkSession, sf_dir: str, kd_profile: int = 0) -> DataFrame:
-    """id, d0..d13 and keys of the transactions to score; label is the truth."""
+    """id, d0..d13 and keys of every row whose id is divisible by 20; label is the truth."""
     from ..functions import keys
 
-    rows = vectors(spark, sf_dir).where("event_id % 50 = 0").withColumnRenamed("event_id", "id")
+    rows = vectors(spark, sf_dir).where("event_id % 20 = 0").withColumnRenamed("event_id", "id")
     return rows.withColumns({"bucket_key": keys.bucket_key(), "fine_key": keys.fine_key(), "profile_key": keys.profile_key(), "kd_key": keys.kd_key(kd_profile)})

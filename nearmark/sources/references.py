@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,23 +20,41 @@ ORDINALS_A_BLOCK = 1_000_000
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """Ordinal, label and d0..d13 of a JSON array of references (gzip too); an unknown label or no row is an error."""
+    """Ordinal, label and d0..d13 of JSON arrays of references (gzip too); an unknown label or no row is an error.
+
+    Ordinals count from 0 in order of file names, then of places in the file, however files are dealt to tasks."""
     raw = spark.read.schema(REFERENCE).option("multiLine", True).json(path)
     if raw.isEmpty():
         raise ValueError("no reference vectors found")
     number = F.when(F.col("label") == "fraud", 1).when(F.col("label") == "legit", 0).otherwise(F.raise_error(F.concat(F.lit("unknown label "), F.coalesce("label", F.lit("null")))))
-    # Positions follow file and row order: a monotonic id is unique and ordered, which is all that ordinals need.
-    return quantize_reference(raw.withColumn("ordinal", F.monotonically_increasing_id())).select("ordinal", number.cast("int").alias("label"), *DIMS)
+    # A file is read by one task, so its rows' ids follow their places.
+    placed = raw.select("vector", number.cast("int").alias("label"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    within = placed.withColumn("own", F.row_number().over(Window.partitionBy("file").orderBy("place")) - 1)
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = placed.groupBy("file").agg(F.count("*").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    numbered = within.join(files, "file").withColumn("ordinal", F.col("ahead") + F.col("own"))
+    return quantize_reference(numbered).select("ordinal", "label", *DIMS)
 
 
 def content_hash(spark: SparkSession, path: str) -> DataFrame:
-    """path and sha256 of each file as it lies there."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """path and sha256 of what each file holds, unpacked if it is a gzip file."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for raw in batch.column(1):
+                stream = raw.as_py()
+                packed = stream[:2] == b"\x1f\x8b"
+                digests.append(hashlib.sha256(gzip.decompress(stream) if packed else stream).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], ["path", "sha256"])
 
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, sha256 string")
 
-def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
-    """request (a payload) and expected_approved of an evaluation corpus."""
-    return spark.read.schema(EVALUATION).option("multiLine", True).json(path).select(F.inline("entries"))
+
+def read_evaluation(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """id, request (a payload), body (its JSON) and expected_approved of an evaluation corpus; limit is a row limit."""
+    rows = spark.read.schema(EVALUATION).option("multiLine", True).json(path).select(F.posexplode("entries"))
+    rows = rows.select(F.col("pos").cast("long").alias("id"), "col.request", F.to_json("col.request", {"ignoreNullFields": "false"}).alias("body"), "col.expected_approved")
+    return rows if limit is None else rows.where(F.col("id") < limit)
 
 
 def with_keys(rows: DataFrame, kd_profile: int = 0) -> DataFrame:
@@ -69,6 +92,15 @@ def build_info(spark: SparkSession, info: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "key string, value string")
 
 
+#: Bytes of build info that a reader accepts.
+MOST_INFO_BYTES = 4096
+
+
+def index_info(spark: SparkSession, path: str) -> DataFrame:
+    """key, value of an index's build info, by key."""
+    return spark.read.parquet(f"{path}/build_info").orderBy("key")
+
+
 def read_index(spark: SparkSession, path: str, allowed_hashes: str = "") -> dict[str, DataFrame]:
     """The sections of an index; its shape is checked, and its reference hash against a comma list if given."""
     names = ("refs", "bucket_stats", "profile_stats", "centroids", "partitions", "risky_stats", "build_info")
@@ -76,6 +108,9 @@ def read_index(spark: SparkSession, path: str, allowed_hashes: str = "") -> dict
     missing = {*DIMS, "ref_id", "label", "bucket_key", "kd_key", "profile_key"} - set(index["refs"].columns)
     if missing:
         raise ValueError(f"the index lacks {sorted(missing)}")
+    size = index["build_info"].agg(F.sum(F.octet_length("key") + F.octet_length("value") + 2)).first()[0] or 0
+    if size > MOST_INFO_BYTES:
+        raise ValueError(f"the index has {size} bytes of build info")
     found = {r["key"]: r["value"] for r in index["build_info"].where(F.col("key").isin("reference_sha256", "dim", "scale", "k")).collect()}
     if found.get("dim", str(len(DIMS))) != str(len(DIMS)) or found.get("scale", str(SCALE)) != str(SCALE) or found.get("k", str(K)) != str(K):
         raise ValueError("the index has another shape")
