@@ -88,6 +88,14 @@ def range_of(rows: DataFrame, quantiles: int = QUANTILES, parts: int = PARTS) ->
     return (at * parts + F.coalesce(F.least(F.greatest(within, F.lit(0)), F.lit(parts - 1)), F.lit(0))).cast("int")
 
 
+def edges(sums: DataFrame) -> DataFrame:
+    """Of rows _source, part, words, rest and from: the part of each source where from and the words so far reach
+    rest, with the words before it as ahead; none for a source whose rest is 0."""
+    before = Window.partitionBy("_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("ahead", F.col("from") + F.coalesce(F.sum("words").over(before), F.lit(0)))
+    return placed.where("ahead < rest and ahead + words >= rest")  # a row a source at most
+
+
 def mix(spark: SparkSession, docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, row (a hash of the text), source, size, source_size, target, copies and taken (words, repeats counted)
     for each row of docs; carry adds the row itself as _doc."""
@@ -107,11 +115,12 @@ def mix(spark: SparkSession, docs: DataFrame, carry: bool = False) -> DataFrame:
     small = F.broadcast if few else (lambda df: df)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = goals.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    before = Window.partitionBy("_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.withColumn("ahead", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    placed = placed.join(small(goals), parts["_source"].eqNullSafe(goals["_source"])).drop(goals["_source"])
-    edge = placed.where("ahead < rest and ahead + words >= rest")  # a row a source at most
-    edge = edge.select("_source", F.col("part").alias("edge"), "ahead").withColumnRenamed("_source", "_edge_source")
+    # First among the quantiles, then among the parts of the one where the target falls: a few hundred rows a source.
+    wide = parts.groupBy("_source", F.floor(F.col("part") / PARTS).alias("part")).agg(F.sum("words").alias("words"))
+    wide = edges(wide.join(small(goals.select(F.col("_source").alias("_of"), "rest", F.lit(0).alias("from"))), F.col("_source").eqNullSafe(F.col("_of"))))
+    inner = wide.select(F.col("_source").alias("_of"), F.col("part").alias("_wide"), "rest", F.col("ahead").alias("from"))
+    edge = edges(parts.join(small(inner), parts["_source"].eqNullSafe(F.col("_of")) & (F.floor(F.col("part") / PARTS) == F.col("_wide"))))
+    edge = edge.select(F.col("_source").alias("_edge_source"), F.col("part").alias("edge"), "ahead")
     goals = goals.join(edge, goals["_source"].eqNullSafe(edge["_edge_source"]), "left").drop("_edge_source").withColumnRenamed("_source", "_goal")
     goals = space.keep(goals, "goals")
     joined = rows.join(small(goals), rows["_source"].eqNullSafe(goals["_goal"])).drop("_goal")
