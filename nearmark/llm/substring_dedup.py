@@ -8,7 +8,8 @@ stays and sentences covered by any other are removed.
 
 Each batch of documents settles its own repeats: all but the first of equal runs in it are known to be non-first,
 so a run is passed on once a batch, however common it is.  What is passed on is packed by hash range into binary
-columns and met in one shuffle; each range is resolved over sorted arrays.
+columns and written; by its number the ranges are cut further, so that each has about RANGE_RUNS runs, and met in one
+shuffle.  Each range is resolved over sorted arrays.
 
 Defined results: null and empty texts have no sentence and lose nothing; a null doc_id comes before all others;
 rows alike in doc_id and text count as one document; an empty table gives an empty result; further columns are
@@ -32,8 +33,9 @@ from .common import Workspace
 MIN_SENTENCES = 2
 MIN_WORDS = 20
 LONE_WORDS = 40
-#: Hash ranges; each is resolved in one task step, so its share of all runs has to fit a task.
+#: Hash ranges of a batch, and how many runs (of 40 bytes) a range has that is resolved in one task step.
 RANGES = 1024
+RANGE_RUNS = 1_000_000
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 COVER_SCHEMA = "doc_id long, row long, first int, last int"
 _NONE = -(1 << 63)
@@ -129,21 +131,33 @@ def unpack(raw: bytes) -> np.ndarray:
     return out
 
 
+def by_range(rows: np.ndarray, ranges: int) -> tuple[list[int], list[bytes]]:
+    """rows packed by hash range; ranges: 2**23 at most."""
+    part = (rows["h1"] >> np.uint64(24)).astype(np.int64) * ranges >> 40
+    rows = rows[np.lexsort((rows["first"], rows["row"], rows["doc"], part))]
+    part = np.sort(part, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
+    return [int(part[c]) for c in cut], [pack(r) for r in np.split(rows, cut[1:])] if len(cut) else []
+
+
+def _packs(parts: list[int], packs: list[bytes]) -> pa.RecordBatch:
+    sizes = [int(np.frombuffer(p, "<i8", 1)[0]) for p in packs]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(sizes, pa.int64()), pa.array(packs, pa.binary())], ["part", "n", "runs"])
+
+
+PACKS = "part int, n long, runs binary"
+
+
 def covered_runs(spark: SparkSession, docs: DataFrame, space: Workspace, ranges: int = RANGES) -> DataFrame:
     """doc_id, row, first, last of every non-first run of sentences."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, others = split_first(batch_runs(batch))
-            part = (first["h1"] >> np.uint64(40)).astype(np.int64) * ranges >> 24
-            first = first[np.lexsort((first["first"], first["row"], first["doc"], part))]
-            part = np.sort(part, kind="stable")
-            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
-            packs = [pack(rows) for rows in np.split(first, cut[1:])] if len(cut) else []
-            parts = [int(part[c]) for c in cut]
+            parts, packs = by_range(first, ranges)
             if len(others):
                 parts, packs = [*parts, -1], [*packs, pack(others)]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packs, pa.binary())], ["part", "runs"])
+            yield _packs(parts, packs)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -163,9 +177,19 @@ def covered_runs(spark: SparkSession, docs: DataFrame, space: Workspace, ranges:
                 yield _covers(unpack(raw.as_py()))
 
     row = F.xxhash64(F.coalesce("text", F.lit("")))
-    packed = space.keep(docs.select(F.col("doc_id").cast("long"), row.alias("row"), "text").mapInArrow(local, "part int, runs binary"), "runs")
-    met = packed.where("part >= 0").repartition("part").sortWithinPartitions("part").mapInArrow(meet, COVER_SCHEMA)
-    return packed.where("part < 0").mapInArrow(unpacked, COVER_SCHEMA).unionByName(met)
+    packed = space.keep(docs.select(F.col("doc_id").cast("long"), row.alias("row"), "text").mapInArrow(local, PACKS), "runs")
+    firsts, total = packed.where("part >= 0"), packed.where("part >= 0").agg(F.sum("n")).first()[0] or 0
+    finer = min(-(-total // RANGE_RUNS), 1 << 23)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(2):
+                yield _packs(*by_range(unpack(raw.as_py()), finer))
+
+    if finer > ranges:
+        firsts = firsts.mapInArrow(cut, PACKS)
+    met = firsts.select("part", "runs").repartition("part").sortWithinPartitions("part").mapInArrow(meet, COVER_SCHEMA)
+    return packed.where("part < 0").select("part", "runs").mapInArrow(unpacked, COVER_SCHEMA).unionByName(met)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
