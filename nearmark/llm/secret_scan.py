@@ -11,7 +11,7 @@ Base rules, leftmost and non-overlapping per kind, too short ones dropped after
 Further rules add spans of other well-known credential formats.
 
 Defined results: null and empty texts have no spans; rows that repeat a doc_id are scanned each; null doc_ids
-are carried; an empty table gives an empty result; further columns play no part.
+are carried; an empty table gives an empty result; further columns play no part; a very long text is one segment.
 """
 
 from __future__ import annotations
@@ -151,17 +151,26 @@ def trigram_query(rule: Rule) -> list[list[set[str]]]:
 
 
 class TrigramSegment:
-    """Postings of the wanted trigrams over the texts of one segment, letters folded."""
+    """Postings of the wanted trigrams over the texts of one segment, letters folded.
+
+    Trigrams are read in pieces that overlap, so besides the bytes themselves memory holds one piece and the
+    postings, also for one very long text."""
+
+    PIECE = 1 << 20
 
     def __init__(self, texts: list[str], wanted: list[str], table: np.ndarray):
         raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
         self.n = len(texts)
         ends = np.cumsum([len(r) + 1 for r in raw])
-        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8).astype(np.int32)
-        which = table[(data[:-2] << 16) | (data[1:-1] << 8) | data[2:]] if len(data) > 2 else np.empty(0, np.int16)
-        at = np.flatnonzero(which >= 0)
-        doc = np.searchsorted(ends, at, side="right")
-        gram, doc = np.divmod(np.unique(which[at].astype(np.int64) * self.n + doc), self.n)
+        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        found = [np.empty(0, np.int64)]
+        for first in range(0, len(data) - 2, self.PIECE):
+            piece = data[first : first + self.PIECE + 2].astype(np.int32)
+            which = table[(piece[:-2] << 16) | (piece[1:-1] << 8) | piece[2:]]
+            at = np.flatnonzero(which >= 0)
+            doc = np.searchsorted(ends, at + first, side="right")
+            found.append(np.unique(which[at].astype(np.int64) * self.n + doc))
+        gram, doc = np.divmod(np.unique(np.concatenate(found)), self.n)
         cut = np.searchsorted(gram, np.arange(len(wanted) + 1))
         self.postings = {t: doc[cut[k] : cut[k + 1]] for k, t in enumerate(wanted)}
 
