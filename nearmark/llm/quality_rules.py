@@ -221,13 +221,13 @@ def learn(space: Workspace, wide: DataFrame, labels: DataFrame, learner: Learner
     """The list for rows of doc_id, base_failed and FEATURES.
 
     It is learned from labelled rows that pass the base rule, as it decides for those alone; rows whose
-    crc32(doc_id) mod 5 is 0 are held out of learning."""
+    crc32(doc_id) mod 5 is 0 are held out of learning.  They are written in files by size, as each step reads them."""
     marks = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     turn = F.crc32(F.col("doc_id").cast("string"))
     rows = wide.where(~F.col("base_failed")).join(marks, "doc_id").where(turn % 5 != 0).select(
         *FEATURES, (1 - F.col("quality")).alias("bad"), F.when(F.pmod(F.floor(turn / 5), F.lit(3)) == 0, "prune").otherwise("grow").alias("part")
     )
-    return (learner or Learner()).fit(space.keep(rows.coalesce(8), "rows"))
+    return (learner or Learner()).fit(space.keep(rows.hint("rebalance"), "rows"))
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, learner: Learner | None = None) -> tuple[DataFrame, DecisionList]:
