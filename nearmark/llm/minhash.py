@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import Workspace
+from .common import Workspace, lookup
 from .graph import components
 from .shingles import MIX_1, WordHashes, mix, shingle_set
 
@@ -204,9 +204,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = WORDS, percen
     space = Workspace(spark, "near")
     rows = space.keep(signatures(docs, k), "signatures")
     named = classes(space, rows, k, percent)
-    out = rows.select("doc_id", "n_shingles", "node").join(named.select("node", "component"), "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    slim = rows.select("doc_id", "n_shingles", "node")
+    found = lookup(slim.where("node is not null"), named.select("node", "component", "n"), ["node"], "n", rows.count())
+    out = slim.where("node is null").withColumn("component", F.col("doc_id")).unionByName(found)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -223,17 +224,18 @@ def one_of_each(spark: SparkSession, docs: DataFrame, k: int = WORDS, percent: i
 
 
 def classes(space: Workspace, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """node, root (of its component) and component (its smallest doc_id) of each class; rows as signatures() makes them."""
+    """node, n (its rows), root (of its component) and component (its smallest doc_id) of each class; rows as
+    signatures() makes them.  Hot bands, groups and components are looked up, so their members meet in no task."""
     spark = space.spark
     first = rows.where("node is not null").groupBy("node")
-    nodes = first.agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"), F.first("hi").alias("hi"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
+    nodes = first.agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.min("rid").alias("rid"), F.first("hi").alias("hi"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
     nodes = space.keep(nodes, "nodes")
     banded = nodes.select("node", "hi", "n_bytes", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("hi").alias("p"), F.max("hi").alias("q")).where("p <> q").select("band", "p")
-    members = space.keep(banded.join(shared, "band").select("p", "node", "hi", "n_bytes").distinct(), "members")
+    shared = banded.groupBy("band").agg(F.min("hi").alias("p"), F.max("hi").alias("q"), F.count("*").alias("n")).where("p <> q").select("band", "p", "n")
+    members = space.keep(lookup(banded, shared, ["band"], "n", BANDS * nodes.count()).select("p", "node", "hi", "n_bytes").distinct(), "members")
     per = members.groupBy("p").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
     cut = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    dealt = members.join(per.select("p", cut.alias("n_blocks")), "p")
+    dealt = lookup(members, per.select("p", cut.alias("n_blocks"), "n"), ["p"], "n", members.count())
     own = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
     everywhere = F.when((F.col("hi") == F.col("p")) & (F.col("n_blocks") > 1), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(own))
     blocks = space.keep(dealt.select("p", "node", "n_blocks", own.alias("own"), F.explode(everywhere).alias("block")), "blocks")
@@ -249,15 +251,15 @@ def classes(space: Workspace, rows: DataFrame, k: int, percent: int) -> DataFram
         placed = several.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = space.keep(placed, "placed")
         sizes = placed.groupBy("p", "root").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("p").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-        apart = placed.join(largest, "p").where("root <> largest and block = own")
+        largest = sizes.groupBy("p").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots"), F.sum("n").alias("n")).where("roots > 1").drop("roots")
+        base = lookup(placed, largest, ["p"], "n", placed.count()).where("block = own")
+        apart = base.where("root <> largest")
         probes = apart.select("p", "node", F.col("own"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block")).where("block <> own")
-        base = placed.join(largest.select("p"), "p", "left_semi").where("block = own")
         again = base.select("p", "node", "block", F.lit(0).alias("probe")).unionByName(probes.select("p", "node", "block", F.lit(1).alias("probe")))
         more = space.keep(link_blocks(with_text(again), k, percent), "more")
         if not more.isEmpty():
             roots = components(links.unionByName(more), space, "cc2")
     roots = space.keep(roots, "roots")
-    placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = roots.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("least"))
-    return placed.join(smallest, "root", "left").select("node", "root", F.coalesce("least", "rep").alias("component"))
+    placed = space.keep(nodes.select("node", "n", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    smallest = placed.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("size"))
+    return lookup(placed, smallest, ["root"], "size", nodes.count()).select("node", "n", "root", "component")
