@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from nearmark.llm import decontaminate, html_wrapper, line_crf, line_dedup, minhash, mixing, quality_rules, queries, secret_scan, substring_dedup, token_counts
+from nearmark.llm import common, decontaminate, html_wrapper, line_crf, line_dedup, minhash, mixing, quality_rules, queries, secret_scan, substring_dedup, token_counts
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key int, size string"
@@ -226,8 +226,11 @@ def test_minhash_blocks(spark, monkeypatch):
     w = [f"t{i}" for i in range(400)]
     chain = [(i, " ".join([f"n{j}" for j in range(i * 8)] + w[i * 8 :])) for i in range(30)]
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
-    got = minhash.near_duplicates(spark, spark.createDataFrame(chain, "doc_id long, text string")).collect()
-    assert {r["component_id"] for r in got} == {0}
+    rows = spark.createDataFrame(chain + [(100 + i, chain[29][1]) for i in range(40)] + [(None, ""), (7, None)], "doc_id long, text string")
+    for heavy in (common.HEAVY_KEYS, 8):
+        monkeypatch.setattr(common, "HEAVY_KEYS", heavy)
+        got = [tuple(r) for r in minhash.near_duplicates(spark, rows).select("doc_id", "component_id", "n_shingles").collect()]
+        assert len(got) == 72 and {c for d, c, n in got if n} == {0} and {(d, c) for d, c, n in got if not n} == {(None, None), (7, 7)}
 
 
 def test_html(spark):
@@ -374,6 +377,46 @@ def test_substring_every_run(spark):
     assert {r["doc_id"]: r["removed"] for r in got} == expected
 
 
+def test_substring_ranges(spark, docs, monkeypatch):
+    """Ranges cut further by the number of runs give the same rows."""
+    got = [sorted(map(repr, substring_dedup.remove_repeats(spark, docs.repartition(3)).select("doc_id", "removed").collect()))]
+    for ranges, each in ((2, 1), (1, 3), (7, 10**9)):
+        monkeypatch.setattr(substring_dedup, "RANGES", ranges)
+        monkeypatch.setattr(substring_dedup, "RANGE_RUNS", each)
+        monkeypatch.setattr(substring_dedup.covered_runs, "__defaults__", (ranges,))
+        got.append(sorted(map(repr, substring_dedup.remove_repeats(spark, docs.repartition(3)).select("doc_id", "removed").collect())))
+    assert got[1:] == got[:1] * 3
+
+
+def test_secret_pieces(spark, monkeypatch):
+    """Trigrams on the edges of pieces are found."""
+    texts = ["x" * k + " password: abcdefghijklmnop " + "é" * k + " AKIA" + "Z9" * 8 for k in range(12)] + ["", "ab"]
+    whole = secret_scan.Scanner(secret_scan.RULES).scan(texts)
+    monkeypatch.setattr(secret_scan.TrigramSegment, "PIECE", 5)
+    assert secret_scan.Scanner(secret_scan.RULES).scan(texts) == whole and all(len(s) == 2 for s in whole[:12]) and whole[12:] == [[], []]
+
+
+def test_components(spark, tmp_path, monkeypatch):
+    """Against a plain union of sets; hubs, whose neighbours are told by broadcast, chains and loops included."""
+    import random
+
+    from nearmark.llm import graph
+
+    pick = random.Random(3)
+    edges = [(0, i) for i in range(1, 300)] + [(i, 1000) for i in range(1000, 1300)] + [(i, i + 1) for i in range(2000, 2040)]
+    edges += [(pick.randrange(3000, 3200), pick.randrange(3000, 3200)) for _ in range(120)] + [(5, 5)]
+    pick.shuffle(edges)
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(60):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    for heavy in (common.HEAVY_KEYS, 8):
+        monkeypatch.setattr(common, "HEAVY_KEYS", heavy)
+        got = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(3), common.Workspace(spark, "graph")).collect()
+        assert len(got) == len(root) and {r["node"]: r["root"] for r in got} == root
+
+
 def test_quality_rules(spark, docs, empty):
     rows, found = quality_rules.judge(spark, docs, table(spark, "labels"))
     got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in rows.collect())
