@@ -114,6 +114,19 @@ def free_name(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def split_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join many to one (a row for each key, none null; how: inner, left or left_semi) so that AQE can split a hot key.
+
+    Spark splits a skewed partition only where both sides come straight from exchanges of the join itself.  A grouped
+    table is partitioned by its key already and gets none, so the key is compared as a struct."""
+    name = free_name("_key", many, one)
+    as_struct = F.struct(F.col(key)).alias(name)
+    left = many.select(as_struct, *(c for c in many.columns if c != key))
+    right = one.select(as_struct, *(c for c in one.columns if c != key))
+    out = left.join(right, name, how)
+    return out.select(F.col(name)[key].alias(key), *(c for c in out.columns if c != name))
+
+
 #: At most this many keys count as heavy, so this many rows at most are broadcast.
 HEAVY_KEYS = 2048
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import Workspace
+from .common import Workspace, split_join
 from .graph import components
 from .shingles import MIX_1, WordHashes, mix, shingle_set
 
@@ -230,10 +230,10 @@ def classes(space: Workspace, rows: DataFrame, k: int, percent: int) -> DataFram
     nodes = space.keep(nodes, "nodes")
     banded = nodes.select("node", "hi", "n_bytes", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("hi").alias("p"), F.max("hi").alias("q")).where("p <> q").select("band", "p")
-    members = space.keep(banded.join(shared, "band").select("p", "node", "hi", "n_bytes").distinct(), "members")
+    members = space.keep(split_join(banded, shared, "band").select("p", "node", "hi", "n_bytes").distinct(), "members")
     per = members.groupBy("p").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
     cut = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    dealt = members.join(per.select("p", cut.alias("n_blocks")), "p")
+    dealt = split_join(members, per.select("p", cut.alias("n_blocks")), "p")
     own = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
     everywhere = F.when((F.col("hi") == F.col("p")) & (F.col("n_blocks") > 1), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array(own))
     blocks = space.keep(dealt.select("p", "node", "n_blocks", own.alias("own"), F.explode(everywhere).alias("block")), "blocks")
@@ -250,9 +250,9 @@ def classes(space: Workspace, rows: DataFrame, k: int, percent: int) -> DataFram
         placed = space.keep(placed, "placed")
         sizes = placed.groupBy("p", "root").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("p").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-        apart = placed.join(largest, "p").where("root <> largest and block = own")
+        apart = split_join(placed, largest, "p").where("root <> largest and block = own")
         probes = apart.select("p", "node", F.col("own"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block")).where("block <> own")
-        base = placed.join(largest.select("p"), "p", "left_semi").where("block = own")
+        base = split_join(placed, largest.select("p"), "p", "left_semi").where("block = own")
         again = base.select("p", "node", "block", F.lit(0).alias("probe")).unionByName(probes.select("p", "node", "block", F.lit(1).alias("probe")))
         more = space.keep(link_blocks(with_text(again), k, percent), "more")
         if not more.isEmpty():
@@ -260,4 +260,4 @@ def classes(space: Workspace, rows: DataFrame, k: int, percent: int) -> DataFram
     roots = space.keep(roots, "roots")
     placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = roots.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("least"))
-    return placed.join(smallest, "root", "left").select("node", "root", F.coalesce("least", "rep").alias("component"))
+    return split_join(placed, smallest, "root", "left").select("node", "root", F.coalesce("least", "rep").alias("component"))

@@ -396,8 +396,40 @@ def test_secret_pieces(spark, monkeypatch):
     assert secret_scan.Scanner(secret_scan.RULES).scan(texts) == whole and all(len(s) == 2 for s in whole[:12]) and whole[12:] == [[], []]
 
 
-def test_components(spark, tmp_path, monkeypatch):
-    """Against a plain union of sets; hubs, whose neighbours are told by broadcast, chains and loops included."""
+#: With these, a key that holds most rows of a small table is split over tasks as one of a large table is by default.
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+}
+
+
+@pytest.fixture
+def skew(spark):
+    before = {k: spark.conf.get(k, None) for k in SKEW}
+    for k, v in SKEW.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_split_join(spark, skew, how):
+    """A hot key against a grouped table is split over tasks, and the rows are those of a plain join."""
+    many = spark.range(60_000, numPartitions=6).select(F.when(F.col("id") % 10 > 0, F.lit(7)).otherwise(F.col("id")).cast("string").cast("binary").alias("k"), "id", F.xxhash64("id").alias("_key"))
+    one = many.where("id % 20 < 10").groupBy("k").agg(F.count("*").alias("n"))
+    value = [] if how == "left_semi" else ["n"]
+    got = common.split_join(many, one, "k", how)
+    assert got.columns == ["k", "id", "_key", *value]
+    rows = Counter(tuple(r) for r in got.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin(skew=true)" in plan
+    assert rows == Counter(tuple(r) for r in many.join(one, "k", how).select(got.columns).collect())
+    assert common.split_join(many, one.limit(0), "k", how).count() == (60_000 if how == "left" else 0)
+
+
+def test_components(spark, skew):
+    """Against a plain union of sets; hubs, chains and loops included."""
     import random
 
     from nearmark.llm import graph
@@ -411,10 +443,8 @@ def test_components(spark, tmp_path, monkeypatch):
         for a, b in edges:
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
-    for heavy in (common.HEAVY_KEYS, 8):
-        monkeypatch.setattr(common, "HEAVY_KEYS", heavy)
-        got = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(3), common.Workspace(spark, "graph")).collect()
-        assert len(got) == len(root) and {r["node"]: r["root"] for r in got} == root
+    got = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(3), common.Workspace(spark, "graph")).collect()
+    assert len(got) == len(root) and {r["node"]: r["root"] for r in got} == root
 
 
 def test_quality_rules(spark, docs, empty):
