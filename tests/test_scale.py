@@ -1,11 +1,13 @@
 """What has to hold where tables are large, on small ones."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nearmark import catalogue
-from nearmark.operators import knn
+from nearmark.config import SearchParams
+from nearmark.operators import ann, knn, wide
 from nearmark.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +51,25 @@ def test_known_merchants(spark):
         expected[e["event_id"]] = [f"MERC-{m:03d}" for m in sorted(mine)]
         mine.add(e["event_id"] * 13 % 97)
     assert {x["event_id"]: x["known_merchants"] for x in rows} == expected
+
+
+def test_wide_vectors_in_pieces(spark, monkeypatch):
+    """All pairs, dealt in many slices and chunks, give what SQL gives."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    monkeypatch.setattr(wide, "SLICE", 30)
+    monkeypatch.setattr(wide, "CHUNK", 4)
+    cursor = con.execute(catalogue.ORACLE_SQL["embedding_knn"])
+    got = catalogue.QUERIES["embedding_knn"](spark, SF).select([d[0] for d in cursor.description])
+    assert sorted(map(tuple, got.collect())) == sorted(cursor.fetchall())
+
+
+def test_buckets_in_chunks(spark, monkeypatch):
+    """Queries of a bucket in several chunks get what they get by broadcast, with no join of pairs in the plan."""
+    p = SearchParams(early_candidates=100, min_candidates=300, max_candidates=350)
+    q, r = fixtures.queries(spark, SF), fixtures.references(spark, SF)
+    expected = sorted(map(tuple, ann.search(q, r, p, own="ordinal").collect()))
+    monkeypatch.setattr(ann, "QUERY_CHUNK", 2)
+    got = ann.search_by_joins(q, r, p, own="ordinal")
+    assert sorted(map(tuple, got.collect())) == expected
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
