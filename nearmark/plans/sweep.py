@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SearchParams
-from ..operators import evaluate
+from ..operators import evaluate, knn
 from .score import score
 
 
@@ -21,7 +21,7 @@ def sweep(inputs: Callable[[int], tuple[DataFrame, DataFrame]], profiles: Iterab
     for profile in profiles:
         queries, refs = inputs(profile)
         for most in partitions:
-            found = score(queries, refs, SearchParams(kd=True, max_partitions=most), own)
+            found = knn.keep(score(queries, refs, SearchParams(kd=True, max_partitions=most), own))
             scored = found.join(queries.select("id", "expected_approved"), "id")
             searched = found.agg(F.avg("searched").alias("avg_searched"), F.avg("scanned").alias("avg_scanned"))
             out.append(evaluate.report(scored).crossJoin(searched).withColumns({"profile": F.lit(profile), "max_partitions": F.lit(most)}))
