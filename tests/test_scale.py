@@ -73,3 +73,9 @@ def test_buckets_in_chunks(spark, monkeypatch):
     got = ann.search_by_joins(q, r, p, own="ordinal")
     assert sorted(map(tuple, got.collect())) == expected
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+
+
+def test_bodies_derived_once(spark):
+    """What is read of bodies comes from the table they are written to; users' histories are not sorted again for it."""
+    plan = catalogue.QUERIES["score_bodies"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in plan and "to_json" not in plan and "structstojson" not in plan.lower()
