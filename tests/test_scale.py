@@ -75,6 +75,35 @@ def test_buckets_in_chunks(spark, monkeypatch):
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("pruned", [True, False])
+def test_copies_in_cells(spark, monkeypatch, pruned):
+    """Of many equal references a tree keeps what can be a neighbour; slices of them are put together, numbers are of all rows."""
+    monkeypatch.setattr(knn, "FEW_REFS", 0)
+    monkeypatch.setattr(knn, "REF_SLICE", 100)
+    monkeypatch.setattr(knn, "QUERY_CHUNK", 50)
+    rng = np.random.default_rng(3)
+    n = 3000
+    v = rng.integers(0, 4, (n, knn.DIM)) * 2000
+    v[: n // 2], v[n // 2 : n // 2 + 400] = v[0], v[-1]
+    label, ref, key = v[:, 1] // 2000 % 2, rng.permutation(n), v[:, 0] // 4000
+    rows = spark.createDataFrame([(int(i), int(r), int(y), int(p), *map(int, x)) for i, (r, y, p, x) in enumerate(zip(ref, label, key, v))], f"ordinal long, ref_id long, label int, kd_key int, {', '.join(f'{d} int' for d in knn.DIMS)}").cache()
+    ids = np.arange(0, n, 10)
+    true = knn.References(ref, label.astype(np.int32), v.astype(np.int16), key, np.arange(n)).flat(ids, v[ids])
+    queries = rows.where("ordinal % 10 = 0").withColumnRenamed("ordinal", "id")
+    got = sorted(map(tuple, (knn.kd if pruned else knn.flat)(queries, rows, own="ordinal").collect()))
+    assert got == [(i, k + 1, true.ref[a, k], true.label[a, k], true.dist[a, k]) for a, i in enumerate(ids.tolist()) for k in range(5)]
+    slim = knn.slim(rows, "ordinal")
+    places = knn.Places.over(slim)
+    assert (places.slices > 2).any()
+    trees = knn.grown(knn.placed(slim, places), places, 5).drop("tree").collect()
+    assert sum(x["n"] for x in trees) == n and sum(x["kept"] for x in trees) <= n - 1500 - 400 + 2 * 6 + 2
+    assert len({x["cell"] for x in trees}) == len(trees)
+    if pruned:
+        counted = knn.count_frauds(queries, rows, own="ordinal").select("id", "searched", "scanned")
+        monkeypatch.setattr(knn, "FEW_REFS", n)
+        assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, knn.count_frauds(queries, rows, own="ordinal").select("id", "searched", "scanned").collect()))
+
+
 def test_bodies_derived_once(spark):
     """What is read of bodies comes from the table they are written to; users' histories are not sorted again for it."""
     plan = catalogue.QUERIES["score_bodies"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
